@@ -21,8 +21,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import simhash
+
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mix_sources,)}
+    return {f.__name__: f for f in (op6_simhash_components, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
