@@ -21,6 +21,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from foliant.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return out.select(F.col("key").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import simhash
 
@@ -29,7 +39,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_components, op8_mix_sources)}
+    return {f.__name__: f for f in (op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
