@@ -21,6 +21,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import pii
+
+    return pii.spans(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +45,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii_spans, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
