@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import bucket_of, table
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, lexicon)
+    held = bucket_of(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +55,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_spans, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
