@@ -37,6 +37,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = quality.learn(docs, table(spark, sf_dir, "labels"))
+    held = bucket_of(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
+    out = quality.scored(docs, ensemble)
+    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +65,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
