@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from foliant.llm.common import bucket_of, table
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import warc
+
+    return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import mixing
 
@@ -65,7 +71,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
