@@ -70,8 +70,15 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import embedding_dedup
+
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
