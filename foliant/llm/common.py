@@ -75,6 +75,16 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column _row beside ``columns``, so that no name of an extra column can clash."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
+    return docs.select(whole, *[c.alias(k) for k, c in columns.items()])
+
+
+def unboxed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("_row.*", *more)
+
+
 def bucket_of(key: Column, mod: int) -> Column:
     """CRC-32 of a key written as text, modulo ``mod``; null keys count as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod

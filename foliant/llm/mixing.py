@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import settled, small_or_shuffled
+from foliant.llm.common import boxed, settled, small_or_shuffled, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1 << 14
@@ -63,16 +63,15 @@ def mix(
     max_repeats: float = 3.0,
     seed: int = 8,
 ) -> DataFrame:
-    """``docs`` with _source_size, _target (double), _size, _copies (long) added.
+    """Rows (_row: the row of ``docs``, size, source_size, target (double), copies, taken).
 
     ``size`` is an expression over ``docs``. Null sources are a source of their own. A row's place in the draw is a
     hash of its key, or of its text where the key is null; rows that agree in it are drawn together, so reruns agree
     whatever the partitions. No rows or no words at all: targets and copies are 0.
     """
-    sized = docs.withColumn("_size", size)
     u = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.when(F.col(key).isNull(), F.col(text)))
-    sized = sized.withColumn("_u", (F.shiftrightunsigned(u, 12).cast("double") + 0.5) / F.lit(float(1 << 52)))
-    rows = settled(sized.select(F.col(source).alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-rows")
+    sized = boxed(docs, source=F.col(source), size=size, u=(F.shiftrightunsigned(u, 12).cast("double") + 0.5) / F.lit(float(1 << 52)))
+    rows = settled(sized.select("source", "size", "u"), "mix-rows")
 
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -97,13 +96,14 @@ def mix(
     rules = rules.select("t.source", "t.source_size", "t.target", "t.certain", "t.p", "t.left", "e.edge", "e.last_place")
     rules = small_or_shuffled(settled(rules, "mix-rules").select(*[F.col(c).alias(f"_m_{c}") for c in rules.columns]))
 
-    out = sized.join(rules, F.col(source).eqNullSafe(F.col("_m_source")), "left")
-    place = _place(F.col("_u"), F.col("_m_p"))
-    taken = (_fine(place) < F.col("_m_edge")) | (place <= F.coalesce(F.col("_m_last_place"), F.lit(-1.0)))
-    taken = F.when(F.col("_m_p") <= 0, False).when(F.col("_m_edge").isNull(), F.col("_m_left") > 0).otherwise(taken)
-    out = out.withColumn("_copies", F.coalesce(F.col("_m_certain"), F.lit(0)) + taken.cast("long"))
-    out = out.withColumn("_source_size", F.coalesce("_m_source_size", F.lit(0)).cast("long")).withColumn("_target", F.coalesce("_m_target", F.lit(0.0)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", "_copies")
+    out = sized.join(rules, F.col("source").eqNullSafe(F.col("_m_source")), "left")
+    place = _place(F.col("u"), F.col("_m_p"))
+    drawn = (_fine(place) < F.col("_m_edge")) | (place <= F.coalesce(F.col("_m_last_place"), F.lit(-1.0)))
+    drawn = F.when(F.col("_m_p") <= 0, False).when(F.col("_m_edge").isNull(), F.col("_m_left") > 0).otherwise(drawn)
+    copies = F.coalesce(F.col("_m_certain"), F.lit(0)) + drawn.cast("long")
+    total, target = F.coalesce("_m_source_size", F.lit(0)).cast("long"), F.coalesce("_m_target", F.lit(0.0))
+    out = out.select("_row", "size", total.alias("source_size"), target.alias("target"), copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _place(u: Column, p: Column) -> Column:
@@ -127,5 +127,5 @@ def _same(a: str, b: str, cell: str) -> Column:
 
 def copied(docs: DataFrame, size: Column) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies, with the columns it came with."""
-    out = mix(docs, size).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = mix(docs, size).where("copies > 0")
+    return unboxed(out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

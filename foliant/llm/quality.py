@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bucket_of
+from foliant.llm.common import boxed, bucket_of
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -171,7 +171,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 4) -> Ensemb
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ensemble:
     """A rule ensemble from the labelled rows whose key is not in the held-out fold."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (bucket_of(F.col(key), FOLDS) != HELD_OUT))
+    known = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & (bucket_of(F.col(key), FOLDS) != HELD_OUT))
     known = known.groupBy(key).agg(F.min(label).alias("_y")).orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)
     rows = with_statistics(docs.select(F.col(key), F.col(text)).join(F.broadcast(known), key), text)  # at most TRAIN_ROWS keys
     rows = rows.select("_y", "_stat.*").collect()
@@ -182,6 +182,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scored(docs: DataFrame, ensemble: Ensemble, text: str = "text") -> DataFrame:
-    """``docs`` with _score (0 to 1) and _predicted (int) added."""
-    out = with_statistics(docs, text).withColumn("_score", ensemble.score()).drop("_stat")
-    return out.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
+    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int); null texts score as empty ones."""
+    out = with_statistics(boxed(docs, text=F.col(text)), "text").select("_row", ensemble.score().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -10,23 +10,6 @@ from pyspark.sql import functions as F
 from foliant.llm.common import bucket_of, table
 
 
-def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliant.llm import warc
-
-    return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
-
-
-def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliant.llm import mixing
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs, mixing.word_count(F.col("text")))
-    return out.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"),
-    )
-
-
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import pii
 
@@ -38,9 +21,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    out = toxicity.scored(docs, lexicon)
-    held = bucket_of(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    held = bucket_of(F.col("_row.doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return toxicity.scored(docs, lexicon).select("_row.doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +30,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ensemble = quality.learn(docs, table(spark, sf_dir, "labels"))
-    held = bucket_of(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
-    out = quality.scored(docs, ensemble)
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    held = bucket_of(F.col("_row.doc_id"), quality.FOLDS) == quality.HELD_OUT
+    return quality.scored(docs, ensemble).select("_row.doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +51,20 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import warc
+
+    return warc.read_back(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, mixing.word_count(F.col("text")))
+    return out.select("_row.doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import embedding_dedup
 
@@ -77,8 +72,11 @@ def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+QUERIES = (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

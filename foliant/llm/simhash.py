@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.llm.common import components, path_of, prepare, settled, stars
+from foliant.llm.common import boxed, components, path_of, prepare, settled, stars, unboxed
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
 HOT_BUCKET = 4096
@@ -192,24 +193,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest key.
 
-    Rows without a key stay if their group has no other row with one; rows that agree in key and text count once.
+    Rows without a key stay only in groups that have no key, one to a group; rows that share a key count once.
     """
     prepare(docs.sparkSession)
-    groups = near_duplicates(docs.select(key, text), key, text)
-    # null keys go last, each group of them by its fingerprint
-    first = groups.groupBy("root").agg(F.min("key").alias("key"), F.min(F.when(F.col("key").isNull(), F.col("fp"))).alias("fp"), F.count("*").alias("n"))
-    keyed = settled(first.where("key is not null").select("key"), "simhash-kept")
-    out = docs.join(keyed.select(F.col("key").alias("_kept")), F.col(key) == F.col("_kept"), "left_semi")
-    many = groups.where("key is not null").groupBy("key").count().where("count > 1").join(keyed, "key", "left_semi")
-    if not many.isEmpty():
-        out = out.dropDuplicates([key])
-    blank = first.where("key is null").select(F.col("fp").alias("_fp"))
-    unkeyed = docs.where(F.col(key).isNull())
+    groups = near_duplicates(docs, key, text)
+    first = settled(groups.groupBy("root").agg(F.min("key").alias("kept"), F.min("fp").alias("kept_fp")), "simhash-kept")
+    keyed = first.where("kept is not null").select("kept")
+    rows = boxed(docs, key=F.col(key))
+    out = rows.join(keyed, F.col("key") == F.col("kept"), "left_semi")
+    twice = groups.where("key is not null").groupBy("key").count().where("count > 1")
+    if not twice.isEmpty():
+        out = out.dropDuplicates(["key"])
+    out = unboxed(out)
+    blank, unkeyed = first.where("kept is null").select("kept_fp"), docs.where(F.col(key).isNull())
     if not blank.isEmpty() and not unkeyed.isEmpty():
-        tagged = unkeyed.withColumn("_x", F.lit(1))
-        prints = tagged.dropDuplicates([text]).withColumn("_text", F.col(text))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.drop("_text").schema.fields)
-        prints = prints.mapInArrow(_fingerprints, f"{kinds}, fp long")
-        kept = prints.join(blank, prints["fp"] == blank["_fp"], "left_semi").dropDuplicates(["fp"])
-        out = out.unionByName(kept.select(*docs.columns))
+        named = boxed(unkeyed, _text=F.col(text))
+        prints = named.mapInArrow(_fingerprints, T.StructType([named.schema["_row"], T.StructField("fp", T.LongType())]))
+        kept = prints.join(blank, F.col("fp") == F.col("kept_fp"), "left_semi").dropDuplicates(["fp"])
+        out = out.unionByName(unboxed(kept))
     return out

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.llm.common import bucket_of, prepare
+from foliant.llm.common import boxed, bucket_of, prepare, unboxed
 from foliant.llm.pii import FOLD
 
 TRAIN_ROWS = 60_000
@@ -143,18 +144,19 @@ def _top(texts: DataFrame, count, least: int, most: int) -> dict[str, int]:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """A lexicon from the labelled rows whose key is in no held-out fold; with too few labels it is empty."""
     prepare(docs.sparkSession)
+    labels = labels.select(key, label)
     fold = bucket_of(F.col(key), FOLDS)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold != HELD_OUT))
     known = known.groupBy(key).agg(F.max(label).alias("_y"), F.max(fold).alias("_fold")).orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)
-    size = {(r["_y"] == 1, r["_fold"] == CALIBRATION): 0 for r in []}
-    known = known.persist()
+    known, size = known.persist(), {}
     for r in known.groupBy((F.col("_y") == 1).alias("y"), (F.col("_fold") == CALIBRATION).alias("c")).count().collect():
         size[(r["y"], r["c"])] = r["count"]
     n1, n0 = size.get((True, False), 0), size.get((False, False), 0)
     if not n1 or not n0:
         known.unpersist()
         return Lexicon({}, [])
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(known), key)  # at most TRAIN_ROWS keys
+    known = known.select(F.col(key).alias("_key"), "_y", "_fold")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")  # at most TRAIN_ROWS keys
     rest = rows.where(F.col("_fold") != CALIBRATION)
     toxic, clean = rest.where("_y = 1").select("_text"), rest.where("_y <> 1").select("_text")
 
@@ -176,13 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     exceptions = []
     if weights:
-        lists = list(weights)
         spared = _top(clean, phrases, LEAST_DOCS, MOST_CANDIDATES)
         if spared:
             close = frozenset(spared)
             against = _top(toxic, lambda t: phrases(t) & close, 1, MOST_CANDIDATES)
             exceptions = [p for p, b in spared.items() if _weight(against.get(p, 0), b, n1, n0) < -0.7][:MOST_EXCEPTIONS]
-        del lists
 
     lexicon = Lexicon(weights, exceptions)
     held = rows.where(F.col("_fold") == CALIBRATION).select(F.col("_y").cast("int"), "_text")
@@ -214,22 +214,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (int) added; null and empty texts have the score of no match."""
+    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int); null and empty texts score as having no match."""
     prepare(docs.sparkSession)
 
     def run(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            score = [lexicon.score(lexicon.features(automaton, t)) for t in texts]
-            columns = [*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_score", "_predicted"])
+            score = [lexicon.score(lexicon.features(automaton, t)) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, _score double, _predicted int")
+    rows = boxed(docs, text=F.col(text))
+    schema = T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the lexicon learned from ``labels`` calls toxic."""
-    out = scored(docs, learn(docs, labels))
-    return out.where("_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(scored(docs, learn(docs, labels)).where("predicted = 0"))
