@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import bucket_of, table
 
+OP10 = """
+WITH able AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM able q JOIN able c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank" FROM scored)
+SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 20
+"""
+
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import pii
@@ -72,7 +84,13 @@ def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups)
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import topk_search
+
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups, op10_topk_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk_search": OP10}
