@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import bucket_of, table
 
+OP1 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER w AS i, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS able
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+ends AS (SELECT conv_id, max(i) AS last_i, min(i) AS first_i FROM n WHERE role = 'assistant' GROUP BY conv_id),
+replies AS (SELECT e.conv_id, e.last_i, l.text AS reply, CASE WHEN e.first_i < e.last_i THEN f.text ELSE '' END AS own
+            FROM ends e JOIN n l ON l.conv_id = e.conv_id AND l.i = e.last_i JOIN n f ON f.conv_id = e.conv_id AND f.i = e.first_i),
+pairs AS (SELECT r.conv_id, r.last_i, r.reply, coalesce(o.reply, r.own) AS other FROM replies r LEFT JOIN replies o ON o.conv_id = xor(r.conv_id, 1)),
+heads AS (SELECT p.conv_id, p.last_i, p.reply, p.other,
+    coalesce(string_agg('<|start|>' || n.role || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i), '') AS head
+  FROM pairs p LEFT JOIN n ON n.conv_id = p.conv_id AND n.i < p.last_i GROUP BY ALL),
+done AS (SELECT *, '<|start|>assistant' || chr(10) || reply || '<|end|>' || chr(10) AS c,
+    '<|start|>assistant' || chr(10) || other || '<|end|>' || chr(10) AS r, reply = other AS same FROM heads)
+SELECT conv_id, CASE WHEN same THEN last_i ELSE last_i - 1 END::INTEGER AS n_common, CASE WHEN same THEN head || c ELSE head END AS prompt,
+  CASE WHEN same THEN '' ELSE c END AS chosen, CASE WHEN same THEN '' ELSE r END AS rejected,
+  CASE WHEN same THEN '' ELSE '19:' || length(c)::VARCHAR END AS chosen_mask, CASE WHEN same THEN '' ELSE '19:' || length(r)::VARCHAR END AS rejected_mask
+FROM done
+"""
+
 OP10 = """
 WITH able AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -22,6 +41,16 @@ SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 20
 """
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm import preference
+
+    pairs = preference.pairs_of(preference.conversations_of(table(spark, sf_dir, "conversations")))
+    return preference.formatted(pairs).select(
+        F.col("key").alias("conv_id"), "n_common", "prompt", "chosen", "rejected",
+        preference.mask_text(F.col("chosen_mask")).alias("chosen_mask"), preference.mask_text(F.col("rejected_mask")).alias("rejected_mask"),
+    )
+
+
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm import pii
 
@@ -90,7 +119,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = (op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups, op10_topk_search)
+QUERIES = (op1_preference_pairs, op2_pii_spans, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_simhash_components, op7_warc, op8_mix_sources, op9_embedding_near_dups, op10_topk_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk_search": OP10}
+    return {"op1_preference_pairs": OP1, "op10_topk_search": OP10}
