@@ -1,19 +1,439 @@
-"""Every query of the library over the driver's tables, with its DuckDB twin."""
+"""Every query of the library over the driver's tables, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.config import Settings
+from foliant.functions import extract, text
+from foliant.functions.querytext import parse_keywords, parse_year_range, split_terms
+from foliant.operators import collect, incremental, inverted, ranking
+from foliant.plans import envelope
+from foliant.plans.envelope import clean_sql, lines_sql, papers_sql, title_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+TERMS, SEARCH = ["with", "rewh", "tion"], "with rewh tion"
+SETTINGS = Settings()
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def docs(spark, sf_dir, name="documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def on_papers(select: str, with_keywords: bool = False) -> str:
+    return f"WITH {papers_sql(with_keywords)} {select}"
+
+
+# fields
+
+
+@query(f"SELECT doc_id, {clean_sql('text')} AS text FROM documents")
+def clean_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.clean(F.col("text")).alias("text"))
+
+
+@query(f"WITH l AS (SELECT doc_id, {lines_sql('text')} AS ls FROM documents) SELECT doc_id, {title_sql('ls')} AS title FROM l")
+def guess_title(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", extract.title(F.col("text")).alias("title"))
+
+
+@query(on_papers("SELECT id, title, authors FROM papers"))
+def guess_authors(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "title", "authors")
+
+
+@query(on_papers("SELECT id, year, year_int, doi, arxiv_id FROM papers"))
+def extract_identifiers(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "year", "year_int", "doi", "arxiv_id")
+
+
+@query(on_papers("SELECT id, abstract FROM papers"))
+def extract_abstract(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "abstract")
+
+
+@query(on_papers("SELECT id, keywords FROM papers", True))
+def extract_keywords(spark, sf_dir):
+    return envelope.papers(spark, sf_dir, True).select("id", "keywords")
+
+
+@query(
+    "WITH c AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used"
+    " FROM conversations WHERE text <> '') SELECT conv_id, string_agg(left(text, (2000 - used)::BIGINT), ' ' ORDER BY turn) AS body FROM c WHERE used < 2000 GROUP BY conv_id"
+)
+def body_budget(spark, sf_dir):
+    pages = docs(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return pages.select("conv_id", extract.body(F.col("p.text"), 2000).alias("body"))
+
+
+@query(on_papers("SELECT id, path, filename, title, authors, year, abstract, keywords, preview, doi, arxiv_id FROM papers"))
+def preview_truncate(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select(*ranking.RESULT_COLUMNS)
+
+
+@query(on_papers("SELECT id, title, authors, year, abstract, keywords, fulltext, preview, doi, arxiv_id, is_scholarly, doc_reason FROM papers"))
+def extract_fields(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "title", "authors", "year", "abstract", "keywords", "fulltext", "preview", "doi", "arxiv_id", "is_scholarly", "doc_reason")
+
+
+# classes and filters
+
+
+@query(on_papers("SELECT id, n_signals, is_scholarly FROM papers"))
+def classify_signals(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "n_signals", "is_scholarly")
+
+
+@query(on_papers("SELECT id, doc_reason FROM papers"))
+def classify_reason(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).select("id", "doc_reason")
+
+
+@query(on_papers("SELECT count(*) AS n FROM papers WHERE is_scholarly = 0"))
+def count_nonscholarly(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).where("is_scholarly = 0").agg(F.count("*").alias("n"))
+
+
+@query(on_papers("SELECT id, title FROM papers WHERE is_scholarly = 1"))
+def scholarly_filter(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).where("is_scholarly = 1").select("id", "title")
+
+
+def _years(name: str, raw: str) -> None:
+    low, high = parse_year_range(raw)
+
+    def run(spark, sf_dir):
+        return envelope.papers(spark, sf_dir).where(ranking.year_filter((low, high))).select("id", "year")
+
+    run.__name__ = name
+    query(on_papers(f"SELECT id, year FROM papers WHERE year_int BETWEEN {low} AND {high}"))(run)
+
+
+for _name, _raw in (("year_single", "2024"), ("year_closed", "2025-2020"), ("year_from", "2020-"), ("year_until", "-1975")):
+    _years(_name, _raw)
+
+
+# words and the inverted index
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"SELECT doc_id, len({_WORDS.format('text')})::INTEGER AS n_tokens, len(list_distinct({_WORDS.format('text')}))::INTEGER AS n_kinds FROM documents")
+def token_stats(spark, sf_dir):
+    words = text.tokens(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_kinds"))
+
+
+
+
+
+@query(on_papers(f"SELECT id AS doc_id, list_sum([{', '.join(f'len({_WORDS.format(f)})' for f in inverted.FIELDS)}])::BIGINT AS n_tokens FROM papers"))
+def doc_stats(spark, sf_dir):
+    return inverted.doc_stats(envelope.papers(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(len({_WORDS.format('text')})), 6) AS avg_tokens FROM documents")
+def corpus_stats(spark, sf_dir):
+    stats = inverted.doc_stats(docs(spark, sf_dir), "doc_id", ("text",))
+    return inverted.corpus_stats(stats).select("n_docs", F.round("avg_tokens", 6).alias("avg_tokens"))
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) SELECT term, doc_id, 'text' AS field, count(*) AS tf FROM w GROUP BY term, doc_id")
+def postings(spark, sf_dir):
+    return inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",))
+
+
+@query()
+def postings_stemmed(spark, sf_dir):
+    return inverted.postings(docs(spark, sf_dir), "doc_id", stem=True, fields=("text",))
+
+
+def bm25_sql(source: str, key: str, weights: dict[str, float], prefixes: list[str]) -> str:
+    """Common table expressions that end in ``scores`` (key, bm25)."""
+    words = ", ".join(f"{_WORDS.format(f)} AS w_{f}" for f in weights)
+    hit = lambda p: " + ".join(f"{w} * len(list_filter(w_{f}, lambda x: starts_with(x, '{p}')))" for f, w in weights.items())
+    fs = ", ".join(f"({hit(p)})::DOUBLE AS f{i}" for i, p in enumerate(prefixes))
+    ns = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(prefixes)))
+    part = lambda i: f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / m))"
+    return f"""
+TW AS (SELECT {key}, {words} FROM {source}),
+TR AS (SELECT {key}, ({' + '.join(f'len(w_{f})' for f in weights)})::DOUBLE AS d, {fs} FROM TW),
+TA AS (SELECT count(*) AS n, avg(d) AS m, {ns} FROM TR),
+scores AS (SELECT {key}, {' + '.join(part(i) for i in range(len(prefixes)))} AS bm25 FROM TR, TA WHERE {' OR '.join(f'f{i} > 0' for i in range(len(prefixes)))})"""
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', {'text': 1.0}, TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scores")
+def bm25_single_field(spark, sf_dir):
+    return ranking.bm25(docs(spark, sf_dir), TERMS, {"text": 1.0}, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {bm25_sql('documents', 'doc_id', {'text': 1.0}, TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scores")
+def bm25_by_index(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    stats = inverted.doc_stats(rows, "doc_id", ("text",))
+    index = inverted.postings(rows, "doc_id", stem=False, fields=("text",)), stats, inverted.corpus_stats(stats)
+    return ranking.bm25_indexed(*index, TERMS, {"text": 1.0}).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def _bm25_over(name: str, table: str, key: str, column: str) -> None:
+    def run(spark, sf_dir):
+        return ranking.bm25(docs(spark, sf_dir, table), TERMS, {column: 1.0}, key).select(key, F.round("bm25", 6).alias("bm25"))
+
+    run.__name__ = name
+    query(f"WITH {bm25_sql(table, key, {column: 1.0}, TERMS)} SELECT {key}, round(bm25, 6) AS bm25 FROM scores")(run)
+
+
+_bm25_over("bm25_pages", "pages", "page_id", "html")
+_bm25_over("bm25_benchmark", "benchmark", "item_id", "text")
+
+_SCORES = bm25_sql("papers", "id", SETTINGS.bm25_weights, TERMS)
+
+
+@query(on_papers(f", {_SCORES} SELECT id, round(bm25, 6) AS bm25 FROM scores"))
+def bm25_weighted_fields(spark, sf_dir):
+    return ranking.bm25(envelope.papers(spark, sf_dir), TERMS, SETTINGS.bm25_weights).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+_CANDIDATES = f""", {_SCORES},
+kept AS (SELECT p.*, round(s.bm25, 6) AS bm25 FROM papers p JOIN scores s USING (id) WHERE p.is_scholarly = 1 AND p.year_int BETWEEN 1960 AND 2030 ORDER BY round(s.bm25, 6) DESC, id LIMIT 300),
+candidates AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS position, count(*) OVER () AS total FROM kept)"""
+
+
+def _candidates(spark, sf_dir):
+    papers = envelope.papers(spark, sf_dir)
+    return ranking.candidates(ranking.bm25(papers, TERMS, SETTINGS.bm25_weights), papers, SETTINGS, 30, "1960-2030")
+
+
+@query(on_papers(f"{_CANDIDATES} SELECT id, bm25, position::INTEGER AS position, total FROM candidates"))
+def candidates_topk(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("id", F.round("bm25", 6).alias("bm25"), "position", "total")
+
+
+_FALLBACK = "(" + " OR ".join(f"contains(lower({f}), '{t}')" for t in ("hehely", "ononst") for f in ranking.FALLBACK_FIELDS) + ")"
+
+
+@query(on_papers(f"SELECT id, title FROM papers WHERE is_scholarly = 1 AND {_FALLBACK} ORDER BY id LIMIT 300"))
+def substring_fallback(spark, sf_dir):
+    return ranking.substring_hits(envelope.papers(spark, sf_dir), ["hehely", "ononst"], SETTINGS).select("id", "title")
+
+
+_BONUS = " + ".join(f"CASE WHEN contains(lower({f}), '{t}') THEN {100 * w} ELSE 0 END" for t in split_terms(SEARCH) for f, w in SETTINGS.rerank_weights.items())
+
+
+@query(on_papers(f"{_CANDIDATES} SELECT id, ({_BONUS})::DOUBLE AS bonus FROM candidates"))
+def rerank_exact_bonus(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("id", ranking.exact_bonus(split_terms(SEARCH), SETTINGS.rerank_weights).alias("bonus"))
+
+
+@query(on_papers(
+    f"{_CANDIDATES}, scored AS (SELECT *, total - position + {_BONUS} AS score FROM candidates),"
+    " rel AS (SELECT *, least(100, floor(score / greatest(max(score) OVER (), 1) * 100))::INTEGER AS relevance FROM scored)"
+    " SELECT id, title, relevance FROM rel ORDER BY score DESC, position LIMIT 30"
+))
+def search_relevance(spark, sf_dir):
+    bonus = ranking.exact_bonus(split_terms(SEARCH), SETTINGS.rerank_weights)
+    return ranking.relevance(_candidates(spark, sf_dir), bonus).select("id", "title", "relevance")
+
+
+@query()
+def search_fuzzy(spark, sf_dir):
+    return ranking.search(envelope.papers(spark, sf_dir), SEARCH, "1960-2030")
+
+
+@query()
+def stem_search(spark, sf_dir):
+    papers = envelope.papers(spark, sf_dir)
+    stats = inverted.doc_stats(papers)
+    return ranking.search(papers, "papers numbering", index=(inverted.postings(papers), stats, inverted.corpus_stats(stats)))
+
+
+@query(on_papers(
+    f"{_CANDIDATES}, scored AS (SELECT *, total - position + {_BONUS} AS score FROM candidates),"
+    " rel AS (SELECT *, least(100, floor(score / greatest(max(score) OVER (), 1) * 100))::INTEGER AS relevance FROM scored ORDER BY score DESC, position LIMIT 30)"
+    " SELECT id, coalesce(nullif(title, ''), filename) AS heading, array_to_string(list_filter(list_transform(regexp_split_to_array(keywords, '[;,·]')[1:6], lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS chips,"
+    " left(doi, 40) AS doi, CASE WHEN relevance > 70 THEN 'high' WHEN relevance > 40 THEN 'medium' ELSE 'low' END AS band, greatest(4, floor(relevance * 88 / 100))::INTEGER AS bar FROM rel"
+))
+def result_cards(spark, sf_dir):
+    bonus = ranking.exact_bonus(split_terms(SEARCH), SETTINGS.rerank_weights)
+    return ranking.result_cards(ranking.relevance(_candidates(spark, sf_dir), bonus))
+
+
+# exact matches
+
+
+def _word_sql(c: str, keyword: str, case: bool = False) -> str:
+    body = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+".join(keyword.split())
+    return f"regexp_matches({c}, '{'' if case else '(?i)'}(^|[^\\p{{L}}\\p{{N}}_]){body}($|[^\\p{{L}}\\p{{N}}_])')"
+
+
+def _exact(name: str, table: str, key: str, column: str, keywords: str, case: bool = False) -> None:
+    def run(spark, sf_dir):
+        return docs(spark, sf_dir, table).where(collect.matches_all(text.blank_if_null(F.col(column)), parse_keywords(keywords), case)).select(*key.split(", "))
+
+    run.__name__ = name
+    query(f"SELECT {key} FROM {table} WHERE {' AND '.join(_word_sql(column, k, case) for k in parse_keywords(keywords))}")(run)
+
+
+_exact("exact_word", "documents", "doc_id", "text", "ononst")
+_exact("exact_all_words", "documents", "doc_id", "text", "with, the, from")
+_exact("exact_match_case", "documents", "doc_id", "text", "The", True)
+_exact("exact_phrase", "documents", "doc_id", "text", "of the")
+_exact("exact_word_pages", "pages", "page_id", "html", "nav")
+_exact("exact_word_conversations", "conversations", "conv_id, turn", "text", "with")
+_exact("exact_word_benchmark", "benchmark", "item_id", "text", "that")
+
+_SPLIT = (
+    "split AS (SELECT id, path, size, CASE WHEN is_scholarly = 1 THEN 'matched' ELSE 'nonpaper' END AS verdict FROM papers WHERE NOT starts_with(path, 'docs/1/') AND "
+    + _word_sql("concat_ws(' ', title, authors, abstract, keywords, fulltext)", "the") + " AND " + _word_sql("concat_ws(' ', title, authors, abstract, keywords, fulltext)", "on text") + ")"
+)
+
+
+@query(on_papers(f", {_SPLIT} SELECT id, verdict FROM split"))
+def match_minus_nonpaper(spark, sf_dir):
+    return collect.split_matches(envelope.papers(spark, sf_dir), parse_keywords("the, on text"), "docs/1").select("id", "verdict")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({_WORDS.format('text')}, ['with', 'the', 'from'])")
+def phrase_gate_intersection(spark, sf_dir):
+    index = inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",))
+    found = [index.where(F.col("term") == t).select("doc_id") for t in ("with", "the", "from")]
+    return found[0].join(found[1], "doc_id", "left_semi").join(found[2], "doc_id", "left_semi").distinct()
+
+
+# copies
+
+
+_FILES = "files AS (SELECT 'docs/' || doc_id || '.pdf' AS path, strlen(text)::BIGINT AS size, sha256(text) AS digest, doc_id FROM documents)"
+
+
+def _files(spark, sf_dir):
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return docs(spark, sf_dir).select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2(F.col("text"), 256).alias("digest"), "doc_id")
+
+
+@query(f"WITH {_FILES} SELECT size, digest, min(path) AS path, count(*) AS copies FROM files GROUP BY size, digest")
+def content_dedup(spark, sf_dir):
+    return collect.first_copies(_files(spark, sf_dir))
+
+
+@query(f"WITH {_FILES} SELECT path FROM files f WHERE EXISTS (SELECT 1 FROM files g WHERE g.digest = f.digest AND g.size = f.size AND g.path < f.path)")
+def content_duplicates(spark, sf_dir):
+    return collect.content_duplicates(_files(spark, sf_dir).select("path", "size", "digest")).select("path")
+
+
+@query(f"WITH {_FILES} SELECT path, size FROM files WHERE doc_id % 3 <> 0 AND size IN (SELECT size FROM files WHERE doc_id % 3 = 0)")
+def size_bucket_semi(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return collect.size_bucket(files.where("doc_id % 3 <> 0"), files.where("doc_id % 3 = 0")).select("path", "size")
+
+
+_PLAN = (
+    "plan AS (SELECT path, size, digest, CASE WHEN EXISTS (SELECT 1 FROM files d WHERE d.doc_id % 3 = 0 AND d.size = s.size AND d.digest = s.digest)"
+    " OR EXISTS (SELECT 1 FROM files e WHERE e.doc_id % 3 <> 0 AND e.digest = s.digest AND e.path < s.path) THEN 'skip' ELSE 'copy' END AS action FROM files s WHERE doc_id % 3 <> 0)"
+)
+
+
+@query(f"WITH {_FILES}, {_PLAN} SELECT path, size, digest, action FROM plan")
+def copy_plan(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return collect.copy_plan(files.where("doc_id % 3 <> 0").drop("doc_id"), files.where("doc_id % 3 = 0").drop("doc_id"))
+
+
+@query(
+    "WITH f AS (SELECT 'd' || doc_id || '/p' || (doc_id % 50) || '.pdf' AS path, 'p' || (doc_id % 50) AS stem FROM documents),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) - 1 AS n FROM f) SELECT path, stem || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.pdf' AS name FROM n"
+)
+def name_collision_plan(spark, sf_dir):
+    i = F.col("doc_id")
+    return collect.name_plan(docs(spark, sf_dir).select(F.concat(F.lit("d"), i.cast("string"), F.lit("/p"), (i % 50).cast("string"), F.lit(".pdf")).alias("path")))
+
+
+@query(f"WITH {_FILES} SELECT path FROM files WHERE NOT starts_with(path, 'docs/')  OR doc_id % 2 = 0")
+def dest_exclusion(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    moved = files.withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("out/"), F.col("path"))))
+    return moved.where(collect.outside(F.col("path"), "out")).select("path")
+
+
+@query(on_papers(
+    f", {_SPLIT}, src AS (SELECT s.path, s.size, sha256(d.text) AS digest FROM split s JOIN documents d ON d.doc_id = s.id WHERE verdict = 'matched'),"
+    " acts AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM src e WHERE e.digest = src.digest AND e.path < src.path) THEN 'skip' ELSE 'copy' END AS action FROM src)"
+    " SELECT (SELECT count(*) FROM papers) AS total_indexed, (SELECT count(*) FROM split WHERE verdict = 'matched') AS matched, (SELECT count(*) FROM split WHERE verdict = 'nonpaper') AS skipped_nonpaper,"
+    " (SELECT count(*) FROM acts WHERE action = 'copy') AS copied, (SELECT count(*) FROM acts WHERE action = 'skip') AS skipped_existing"
+))
+def aggregate_stats(spark, sf_dir):
+    papers, files = envelope.papers(spark, sf_dir), _files(spark, sf_dir)
+    split = collect.split_matches(papers, parse_keywords("the, on text"), "docs/1")
+    plan = collect.copy_plan(files.drop("doc_id").join(split.where("verdict = 'matched'").select("path"), "path", "left_semi"), files.drop("doc_id").limit(0))
+    return collect.aggregate_counts(split, plan, papers)
+
+
+# the incremental catalogue
+
+_MANIFESTS = (
+    "old AS (SELECT doc_id + 1 AS id, 'docs/' || doc_id || '.pdf' AS path, doc_id + 0.5::DOUBLE AS mtime, n_chars AS size FROM documents WHERE doc_id % 10 <> 0),"
+    " new AS (SELECT 'docs/' || doc_id || '.pdf' AS path, doc_id + 0.5::DOUBLE AS mtime, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 11 <> 0),"
+    " todo AS (SELECT * FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.path = new.path AND abs(old.mtime - new.mtime) <= 0.01 AND old.size = new.size))"
+)
+
+
+def _manifests(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), (F.col("doc_id") + 0.5).cast("double").alias("mtime"), F.col("n_chars").alias("size"))
+    old = rows.where("doc_id % 10 <> 0").select((F.col("doc_id") + 1).alias("id"), "path", "mtime", "size")
+    new = rows.where("doc_id % 11 <> 0").select("path", "mtime", (F.col("size") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size"))
+    return old, new
+
+
+@query(f"WITH {_MANIFESTS} SELECT path, mtime, size FROM todo")
+def needs_indexing_diff(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return incremental.needs_indexing(new, old)
+
+
+@query(f"WITH {_MANIFESTS} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)")
+def removed_paths(spark, sf_dir):
+    return incremental.vanished(*_manifests(spark, sf_dir)).select("path")
+
+
+@query(
+    f"WITH {_MANIFESTS}, fresh AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY path) AS id, path, mtime, size FROM new WHERE path NOT IN (SELECT path FROM old))"
+    " SELECT id, path, mtime, size FROM old WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT o.id, n.path, n.mtime, n.size FROM new n JOIN old o USING (path) UNION ALL SELECT * FROM fresh"
+)
+def upsert_merge(spark, sf_dir):
+    return incremental.upsert(*_manifests(spark, sf_dir))
+
+
+@query(f"WITH {_MANIFESTS} SELECT (SELECT count(*) FROM new) AS total, count(*) AS indexed, (SELECT count(*) FROM new) - count(*) AS skipped, 0::BIGINT AS errors FROM todo")
+def index_stats(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    todo = incremental.needs_indexing(new, old).withColumns({"error": F.lit(None).cast("string"), "sample": F.lit(None).cast("string")})
+    return incremental.index_stats(new, todo).select("total", "indexed", "skipped", "errors")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return search_relevance(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
