@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 W_IN = r"\s\x1c-\x1f\x85\p{Z}"
 W = f"[{W_IN}]"
 WC = r"[\p{L}\p{N}_]"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[\p{L}\p{N}]+"
 
 

@@ -81,10 +81,10 @@ class Snapshots:
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        where = self._path(f"{self.folder}/_current.json")
+        where = self._path(f"{self.folder}/current.json")
         if not self._fs.exists(where):
             return {}
-        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/_current.json").collect())
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/current.json").collect())
         return json.loads(text)
 
     def current(self) -> str | None:
@@ -102,7 +102,7 @@ class Snapshots:
         out = self._fs.create(draft, True)
         out.write(bytearray(text, "utf-8"))
         out.close()
-        target = self._path(f"{self.folder}/_current.json")
+        target = self._path(f"{self.folder}/current.json")
         self._fs.delete(target, False)
         self._fs.rename(draft, target)
         if old:
