@@ -92,12 +92,18 @@ class Snapshots:
         found = self._pointer()
         return f"{self.folder}/{found['name']}" if found.get("version") == self.version else None
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Write tables as a new snapshot, then point to it; the one before goes."""
-        old, name = self._pointer().get("name"), f"snapshot-{uuid.uuid4().hex}"
+    def commit(self, tables: dict[str, DataFrame], derive=None) -> str:
+        """Write tables as a new snapshot, and what ``derive(folder)`` writes from them, then point to it.
+
+        The snapshot before stays, for readers that began with it; the one before that goes.
+        """
+        before, name = self._pointer(), f"snapshot-{uuid.uuid4().hex}"
+        where = f"{self.folder}/{name}"
         for table, df in tables.items():
-            df.write.parquet(f"{self.folder}/{name}/{table}")
-        text = json.dumps({"name": name, "version": self.version})
+            df.write.parquet(f"{where}/{table}")
+        if derive is not None:
+            derive(where)
+        text = json.dumps({"name": name, "before": before.get("name"), "version": self.version})
         draft = self._path(f"{self.folder}/_draft-{uuid.uuid4().hex}.json")
         out = self._fs.create(draft, True)
         out.write(bytearray(text, "utf-8"))
@@ -105,6 +111,6 @@ class Snapshots:
         target = self._path(f"{self.folder}/current.json")
         self._fs.delete(target, False)
         self._fs.rename(draft, target)
-        if old:
-            self._fs.delete(self._path(f"{self.folder}/{old}"), True)
-        return f"{self.folder}/{name}"
+        if before.get("before"):
+            self._fs.delete(self._path(f"{self.folder}/{before['before']}"), True)
+        return where

@@ -68,11 +68,13 @@ class Library:
         gone = old.count() - kept.count()
         if indexed or gone or self.snapshots.current() is None or force:
             papers = upsert(kept, paper_rows(read(todo), self.settings)).select(*COLUMNS)
-            now = self.snapshots.commit({"papers": papers.repartitionByRange("id")})
-            inverted.write(self.spark.read.parquet(f"{now}/papers"), now)
+            self.snapshots.commit({"papers": papers.repartitionByRange("id")}, self._derive)
         empty = self.papers().join(todo.select("path"), "path", "left_semi").where("fulltext = '' and title = ''").count()
         return IndexStats(total=total, indexed=indexed, skipped=total - indexed, errors=0, n_empty=empty)
 
+    def _derive(self, folder: str) -> None:
+        inverted.write(self.spark.read.parquet(f"{folder}/papers"), folder)
+
     def count_nonscholarly(self) -> int:
         return self.papers().where("is_scholarly = 0").count()
 

@@ -20,7 +20,6 @@ def pages_stream(spark, folder: str) -> DataFrame:
 
 def take_in(library: Library, batch: DataFrame, epoch: int) -> None:
     """Add a batch; rows that the library already has unchanged are skipped, so a batch that runs twice adds nothing."""
-    from foliant.operators import inverted
     from foliant.operators.incremental import upsert
 
     old = library.papers().select(*COLUMNS)
@@ -28,8 +27,7 @@ def take_in(library: Library, batch: DataFrame, epoch: int) -> None:
     if todo.isEmpty():
         return
     papers = upsert(old, paper_rows(todo, library.settings)).select(*COLUMNS)
-    now = library.snapshots.commit({"papers": papers})
-    inverted.write(library.spark.read.parquet(f"{now}/papers"), now)
+    library.snapshots.commit({"papers": papers}, library._derive)
 
 
 def start(stream: DataFrame, library: Library, checkpoint: str):
