@@ -4,7 +4,7 @@ A transducer rewrites a text and keeps, for each character it writes, the source
 fold homoglyphs (letters and digits that look like ASCII, full width forms, invisible characters dropped), spelled
 digits ("five five", "fünf", "plus") and disguised separators ("(at)", " at ", "[dot]", " punkt "). Identifiers are
 detected in the rewritten text by the same rules as in the source, and their spans mapped back. A disguised span is
-added unless it overlaps one of the same kind that the source text shows openly; open ones are never changed.
+added unless it lies within one of the same kind that the source text shows openly; open ones are never changed.
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def find(text: str | None) -> tuple[list, list]:
     base = detect(text)
     every = list(base)
     for kind, a, b in disguised(text):
-        if not any(k == kind and a < y and x < b for k, x, y in base):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             every.append((kind, a, b))
     return base, sorted(set(every), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
