@@ -34,7 +34,7 @@ def roots(n, pairs):
 
 def duck(small):
     db = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return db
 
