@@ -21,7 +21,7 @@ from foliant.llm.common import boxed, bucket_of
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 TREES, DEPTH, LEAST_LEAF, CUTS = 60, 3, 20, 32
-MOST_RULES = 400
+MOST_RULES = 250
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -118,17 +118,22 @@ def grow(x: np.ndarray, residual: np.ndarray, cuts: list[np.ndarray], binned: np
 def lasso(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """L1-penalised logistic regression by accelerated proximal gradient; the bias is not penalised."""
     n, k = a.shape
-    step = 4 * n / (np.linalg.norm(np.c_[np.ones(n), a], 2) ** 2)
+    own, ones = a.T @ a, a.sum(axis=0)
+    gram = np.block([[np.array([[float(n)]]), ones[None, :]], [ones[:, None], own]])
+    step = 4 * n / float(np.linalg.eigvalsh(gram.astype(np.float64))[-1])
     bias, w = math.log((y.sum() + 0.5) / (n - y.sum() + 0.5)), np.zeros(k)
     b2, w2, t = bias, w.copy(), 1.0
     for _ in range(rounds):
-        g = (1 / (1 + np.exp(-np.clip(b2 + a @ w2, -40, 40))) - y) / n
-        new_b, new_w = b2 - step * g.sum(), w2 - step * (a.T @ g)
+        g = (1 / (1 + np.exp(-np.clip(b2 + a @ w2.astype(a.dtype), -40, 40))) - y) / n
+        new_b, new_w = b2 - step * g.sum(), w2 - step * (a.T @ g.astype(a.dtype))
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         b2, w2 = new_b + (t - 1) / t2 * (new_b - bias), new_w + (t - 1) / t2 * (new_w - w)
+        moved = max(abs(new_b - bias), float(np.abs(new_w - w).max(initial=0.0)))
         bias, w, t = new_b, new_w, t2
-    return bias, w
+        if moved < 1e-4:
+            break
+    return float(bias), w
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 4) -> Ensemble:
@@ -151,12 +156,18 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 4) -> Ensemb
         for path in [*own, *tree]:
             paths.setdefault(tuple(sorted(path)), None)
     rules = list(paths)
-    holds = np.stack([np.logical_and.reduce([(x[:, f] > c) == above for f, above, c in r]) for r in rules], axis=1).astype(np.float64)
-    _, first = np.unique(holds, axis=1, return_index=True)
-    spread = holds.std(axis=0)
-    keep = [i for i in sorted(first) if spread[i] > 0]
-    keep = sorted(sorted(keep, key=lambda i: -abs(np.corrcoef(holds[:, i], y)[0, 1]))[:MOST_RULES])
-    rules, holds = [rules[i] for i in keep], holds[:, keep]
+    seen: dict[bytes, tuple[float, Rule, np.ndarray]] = {}
+    for r in rules:  # one rule for each set of documents, a bit a document
+        hold = np.logical_and.reduce([(x[:, f] > c) == above for f, above, c in r])
+        share = hold.mean()
+        if 0 < share < 1:
+            link = abs(y[hold].mean() - y.mean()) * math.sqrt(share / (1 - share))  # the correlation, but for a constant
+            seen.setdefault(np.packbits(hold).tobytes(), (link, r, np.packbits(hold)))
+    best_rules = sorted(seen.values(), key=lambda v: (-v[0], v[1]))[:MOST_RULES]
+    if not best_rules:
+        return Ensemble(float(margin.mean()), [])
+    rules = [r for _, r, _ in best_rules]
+    holds = np.stack([np.unpackbits(bits, count=len(y)) for _, _, bits in best_rules], axis=1).astype(np.float32)
     test = rng.random(len(y)) < 0.25
     best = (np.inf, 1e-3)
     for penalty in (1e-2, 3e-3, 1e-3, 3e-4):
