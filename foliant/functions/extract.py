@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
-from foliant.functions.text import W, W_IN, WC, blank_if_null, clean, lines, strip
+from foliant.functions.text import W, W_IN, WC, blank_if_null, clean, let, lines, strip
 
 # How lines begin that are no titles.
 NO_TITLE = r"(?i)^(https?://|www\.|©|copyright|[0-9]+$|received|accepted|published|vol\.|volume|doi:|email|e-mail|abstract$|keywords?$)"
@@ -34,7 +34,10 @@ def whole(words) -> str:
 
 def title(page: Column) -> Column:
     """The first of twenty lines that looks like a title, else the first line."""
-    own = lines(page)
+    return let(lines(page), title_of)
+
+
+def title_of(own: Column) -> Column:
     share = lambda x: F.char_length(F.regexp_replace(x, rf"[^\p{{L}}{W_IN}]", "")) / F.char_length(x)
     fits = F.filter(F.slice(own, 1, 20), lambda x: F.char_length(x).between(8, 250) & ~x.rlike(NO_TITLE) & (share(x) > 0.55))
     return F.coalesce(F.get(fits, F.lit(0)), F.get(own, F.lit(0)), F.lit(""))
@@ -42,14 +45,24 @@ def title(page: Column) -> Column:
 
 def authors(page: Column, found_title: Column) -> Column:
     """Up to three lines between the title's line and the abstract."""
-    own, name = lines(page), F.lower(strip(found_title))
+    return let(F.lower(strip(found_title)), lambda name: authors_of(lines(page), name))
+
+
+def authors_of(own: Column, name: Column) -> Column:
     titled = lambda x: F.contains(F.lower(x), name)
-    start = F.array_position(F.transform(own, titled), True).cast("int")
-    rest = F.filter(F.slice(own, start + 1, F.size(own)), lambda x: ~titled(x))
-    opens = F.array_position(F.transform(rest, lambda x: x.rlike(r"(?i)^abstract($|[^\p{L}\p{N}_])")), True).cast("int")
-    zone = F.when(opens > 0, F.slice(rest, F.lit(1), opens - 1)).otherwise(rest)
-    kept = F.filter(zone, lambda x: (F.char_length(x) > 5) & ~x.rlike(rf"^\p{{Nd}}+\.?{W}"))
-    return F.when((name != "") & (start > 0), F.array_join(F.slice(kept, 1, 3), "; ")).otherwise(F.lit(""))
+    opens = lambda x: x.rlike(r"(?i)^abstract($|[^\p{L}\p{N}_])")
+    able = lambda x: (F.char_length(x) > 5) & ~x.rlike(rf"^\p{{Nd}}+\.?{W}")
+
+    def up_to_abstract(rest):
+        return let(F.array_position(F.transform(rest, opens), True).cast("int"), lambda n: F.when(n > 0, F.slice(rest, F.lit(1), n - 1)).otherwise(rest))
+
+    def after_title(all_lines):
+        start = F.array_position(F.transform(all_lines, titled), True).cast("int")
+        rest = lambda n: F.filter(F.slice(all_lines, n + 1, F.size(all_lines)), lambda x: ~titled(x))
+        found = lambda n: F.array_join(F.slice(F.filter(let(rest(n), up_to_abstract), able), 1, 3), "; ")
+        return let(start, lambda n: F.when((name != "") & (n > 0), found(n)).otherwise(F.lit("")))
+
+    return let(own, after_title)
 
 
 def year(front: Column) -> Column:
