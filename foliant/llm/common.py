@@ -18,8 +18,8 @@ TEXT_BATCH = 400
 BROADCAST_ROWS = 200_000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Send this library to the executors, once a session, and keep Arrow batches of texts small."""
+def prepare(spark: SparkSession, batch: int = TEXT_BATCH) -> None:
+    """Send this library to the executors, once a session, and set the rows of an Arrow batch: few where rows are texts."""
     if getattr(spark.sparkContext, "_foliant_sent", None) is None:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         archive = os.path.join(tempfile.mkdtemp(), "foliant_code.zip")
@@ -31,7 +31,7 @@ def prepare(spark: SparkSession) -> None:
                         out.write(full, os.path.relpath(full, root))
         spark.sparkContext.addPyFile(archive)
         spark.sparkContext._foliant_sent = archive
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -110,6 +110,7 @@ def _against(block, row, ids, q, floor, rotation, k):
     crow, cid, cx, chead, crest, clength = block
     qhead, qrest = rotation(q)
     qlength = np.sqrt((q * q).sum(1))
+    dense = max(np.abs(q).max(initial=0), np.abs(cx).max(initial=0)) <= EXACT
     kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     for at in range(0, len(cx), 512):
         to = min(len(cx), at + 512)
@@ -118,7 +119,10 @@ def _against(block, row, ids, q, floor, rotation, k):
             break
         bound = qhead[able] @ chead[at:to].T + np.outer(qrest[able], crest[at:to])
         bound += np.outer(qlength[able], clength[at:to]) * 1e-9 + 1e-6
-        i, j = np.nonzero(bound >= floor[able][:, None])
+        left = bound >= floor[able][:, None]
+        if dense and left.mean() > 0.02:  # many are left: whole products cost less than picking rows; integers, so exact
+            left &= q[able] @ cx[at:to].T >= floor[able][:, None]
+        i, j = np.nonzero(left)
         i, j = able[i], j + at
         ok = row[i] != crow[j]
         i, j = i[ok], j[ok]
@@ -146,7 +150,7 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vec: str =
     name keys. Repeated rows are candidates of their own and queries of their own.
     """
     spark = vectors.sparkSession
-    prepare(spark)
+    prepare(spark, BLOCK)
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vec)).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where("vec is not null").withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
