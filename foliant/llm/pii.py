@@ -64,6 +64,7 @@ _MAIL = re.compile(
 )
 _AT_PART = re.compile(rf"(?i)\s*{_OPEN}(?:{_AT}|@){_SHUT}\s*|\s*@\s*|\s+(?:{_AT})\s+")
 _DOT_PART = re.compile(rf"(?i)\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*|\s+(?:{_DOT})\s+|\s*\.\s*")
+_END, _NEW_SENTENCE = re.compile(r"\.\s+"), re.compile(r"\.\s+[A-Z]")
 _DOT_WORD = re.compile(rf"(?i)(?:{_OPEN}(?:{_DOT}|\.){_SHUT}|\s(?:{_DOT})\s)")
 _BREAK_DOT = re.compile(rf"(?i)(?<=[0-9])[\s.,-]+(?:{_DOT})[\s.,-]+(?=[0-9])|(?<=[0-9])\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*(?=[0-9])")
 
@@ -83,26 +84,20 @@ def _fold_table() -> dict[int, str | None]:
 
 
 FOLD = _fold_table()
-_FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FOLD)) + "]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BRACKETED = re.compile(rf"(?i){_OPEN}(?:{_AT}|{_DOT}|@|\.){_SHUT}")
-_MIXED = re.compile(r"[0-9][OolI]|(?<![^\W_])[OolI][0-9]")
-_APART = re.compile(r"\s@|@\s")
 #: Anything beyond Latin letters, and the few signs below them that FOLD rewrites.
 _UNUSUAL = re.compile("[^\x00-\x9f\xa1-\xac\xae-\xb6\xb8-\u0130\u0132-\u024f]")
-#: Words one of which a disguise in words holds; "un" alone is an article.
-_HINT_WORDS = frozenset(SPELLED.keys() - {"un"}) | frozenset(DOT_WORDS)
 
 
-def may_disguise(text: str) -> bool:
-    """False only if no transducer would change ``text`` into something that shows more."""
-    if ("@" in text and _APART.search(text)) or (not text.isascii() and _UNUSUAL.search(text)):
-        return True
-    if _MIXED.search(text):
-        return True
-    if any(c in text for c in "([{<") and _BRACKETED.search(text):
-        return True
-    return not _HINT_WORDS.isdisjoint(_LETTERS.findall(text.lower()))
+def _lower(text: str) -> str:
+    """``text`` in lower case, with the four other characters that match i, s and k where case is ignored."""
+    if text.isascii():
+        return text.lower()
+    return text.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s").replace("\u212a", "k")
+
+
+def _any_of(words, low: str) -> bool:
+    return any(w in low for w in words)
 
 
 def luhn(digits: str) -> bool:
@@ -179,7 +174,9 @@ class Tape:
 
 
 def fold_homoglyphs(tape: Tape) -> Tape:
-    return tape.rewrite([(m.start(), m.end(), FOLD[ord(m[0])] or "") for m in _FOLDED.finditer(tape.text)])
+    if tape.text.isascii():
+        return tape
+    return tape.rewrite([(m.start(), m.end(), FOLD[ord(m[0])] or "") for m in _UNUSUAL.finditer(tape.text) if ord(m[0]) in FOLD])
 
 
 def _joined(run: str, at: int) -> list[tuple[int, int, str]]:
@@ -201,6 +198,9 @@ def _joined(run: str, at: int) -> list[tuple[int, int, str]]:
 
 
 def spell_digits(tape: Tape) -> Tape:
+    low = _lower(tape.text)
+    if sum(w in SPELLED for w in _LETTERS.findall(low)) < 2:
+        return tape
     edits = []
     for m in _RUN.finditer(tape.text):
         if len(_DIGIT_WORD.findall(m[0])) < 2:  # one word among figures is prose
@@ -214,8 +214,11 @@ def spell_digits(tape: Tape) -> Tape:
 
 def open_signs(tape: Tape) -> Tape:
     """Disguised at and dot signs, where the whole reads as an address; "word at word.word" alone is prose."""
-    edits = []
-    for m in _MAIL.finditer(tape.text):
+    edits, low = [], _lower(tape.text)
+    dots = _any_of(DOT_WORDS, low) or any(c in low for c in "([{<")
+    if not dots and "@" not in low:  # bare at words need a dot word or a sign in brackets
+        return tape
+    for m in _MAIL.finditer(tape.text) if "@" in low or _any_of(AT_WORDS, low) else ():
         whole = m[0]
         at = _AT_PART.search(whole, max(0, (m.start("mark") if m["mark"] else m.start("bare")) - m.start()))
         domain = whole[at.end() :]
@@ -226,10 +229,15 @@ def open_signs(tape: Tape) -> Tape:
                 continue
         local = [(p.start(), p.end(), ".") for p in _DOT_PART.finditer(whole[: at.start()])]
         rest = [(at.end() + p.start(), at.end() + p.end(), ".") for p in _DOT_PART.finditer(domain)]
+        if m["mark"] == "@":  # the ends of sentences beside an open address are no disguise
+            first = next((i for i, (a, b, _) in enumerate(rest) if i and _NEW_SENTENCE.fullmatch(whole, a, b + 1)), len(rest))
+            rest = rest[:first]
+            if all(b - a == 1 for a, b, _ in rest) and all(b - a == 1 or _END.fullmatch(whole, a, b) for a, b, _ in local):
+                continue
         for a, b, new in [*local, (at.start(), at.end(), "@"), *rest]:
             if whole[a:b] != new:
                 edits.append((m.start() + a, m.start() + b, new))
-    edits += [(m.start(), m.end(), ".") for m in _BREAK_DOT.finditer(tape.text)]
+    edits += [(m.start(), m.end(), ".") for m in _BREAK_DOT.finditer(tape.text)] if dots else []
     out, end = [], 0
     for e in sorted(edits):
         if e[0] >= end:
@@ -239,6 +247,8 @@ def open_signs(tape: Tape) -> Tape:
 
 
 def plus_words(tape: Tape) -> Tape:
+    if not _any_of(PLUS_WORDS, _lower(tape.text)):
+        return tape
     return tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
@@ -259,8 +269,6 @@ TRANSDUCERS = (fold_homoglyphs, digit_letters, spell_digits, plus_words, open_si
 
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Identifiers that only the rewritten text shows, as spans of the source text."""
-    if not may_disguise(text):
-        return []
     tape = Tape.of(text)
     for step in TRANSDUCERS:
         tape = step(tape)

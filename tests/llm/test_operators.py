@@ -116,6 +116,23 @@ def test_disguises(text, found):
     assert [x for x in shown if x in found or not base] == found and all(any(a <= x and y <= b and k == kind for k, a, b in every) for kind, x, y in base)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("call plus 49 170 1234567", [("phone", "plus 49 170 1234567")]), ("Mas 34 600 123456 hoy", [("phone", "Mas 34 600 123456")]), ("john@example . com", [("email", "john@example . com")]),
+    ("plus un un un un un un un un un", [("phone", "plus un un un un un un un un un")]), ("a@b.com. Thanks", [("email", "a@b.com")]), ("Ask us. ann@b.com", [("email", "ann@b.com")]),
+])
+def test_disguises_without_other_hints(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == found
+
+
+def test_unrelated_words_change_nothing():
+    rng = random.Random(7)
+    parts = ["plus", "más", "49", "170", "1234567", "+1", "five", "un", "fünf", "nine", "at", "chez", "(at)", "@", "[.]", "dot", ".", " . ", "punto", "ann", "b.com", "example", "O5l", "１", "а", "4111", "10", ",", "\n", "PLUS", "ſix"]
+    rest = " ; point ; null ; two ; plus ; (dot) ; at ; 5O ; а ;"
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) + " ;"
+        assert pii.find(text) == pii.find(text + rest), text
+
+
 def test_base_spans_stay():
     rng = random.Random(3)
     for _ in range(3000):
