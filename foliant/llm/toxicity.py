@@ -6,8 +6,8 @@ labels. Of the entries that match at one place the heaviest counts. Exception ph
 the lexicon, seen in clean documents instead) cancel the matches in them. The score is a logistic function of the
 weight found and of that weight per word.
 
-What is learned is bounded: at most ``TRAIN_ROWS`` labelled documents (those with the lowest hash), ``MOST_CANDIDATES``
-candidates and ``MOST_ENTRIES`` entries. Counts are made on the executors; texts are never collected.
+At most ``TRAIN_ROWS`` labelled documents (those with the lowest hash) are learned from. Every entry and phrase in them is
+counted and weighed on the executors; only those that pass the thresholds are collected, and all of them are kept.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from foliant.llm.common import boxed, bucket_of, prepare, unboxed
 from foliant.llm.pii import FOLD
 
 TRAIN_ROWS = 60_000
-MOST_CANDIDATES, MOST_ENTRIES, MOST_EXCEPTIONS = 20_000, 4_000, 1_000
+HELD_COUNTS = 200_000
 LEAST_DOCS, LEAST_EVIDENCE = 6, 28.0
 BEGINNINGS = (4, 5, 6)
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -126,19 +126,43 @@ def _weight(a, b, n1, n0):
 
 
 def _counts(batches, count):
-    found = Counter()
+    """Rows (entry, a, b): in how many toxic and clean documents; counts are handed on before they fill the memory."""
+    found = {True: Counter(), False: Counter()}
+
+    def flush():
+        a, b = found[True], found[False]
+        entries = list(a.keys() | b.keys())
+        columns = [pa.array(entries, pa.string()), pa.array([a[e] for e in entries], pa.int64()), pa.array([b[e] for e in entries], pa.int64())]
+        a.clear()
+        b.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["entry", "a", "b"])
+
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            found.update(count(text))
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], names=["entry", "n"])
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found[toxic].update(count(text))
+            if len(found[True]) + len(found[False]) >= HELD_COUNTS:
+                yield flush()
+    if found[True] or found[False]:
+        yield flush()
+
+
+def _counted(texts: DataFrame, count) -> DataFrame:
+    """Rows (entry, a, b) of what ``count`` finds in ``texts`` (toxic, text), summed over all tasks."""
+    rows = texts.mapInArrow(lambda it: _counts(it, count), "entry string, a long, b long")
+    return rows.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _passing(batches, weigh):
+    """Rows (entry, w) of counted entries to which ``weigh`` gives a weight."""
+    for batch in batches:
+        found = [(e, weigh(a, b)) for e, a, b in zip(*(c.to_pylist() for c in batch.columns))]
+        found = [(e, w) for e, w in found if w is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array([w for _, w in found], pa.float64())], names=["entry", "w"])
 
 
-def _top(texts: DataFrame, count, least: int, most: int) -> dict[str, int]:
-    """Document counts of what ``count`` finds, summed over all tasks; the ``most`` largest of at least ``least``."""
-    rows = texts.mapInArrow(lambda it: _counts(it, count), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") >= least).orderBy(F.col("n").desc(), "entry").limit(most)
-    return {r["entry"]: r["n"] for r in rows.collect()}
+def _weighed(counted: DataFrame, weigh) -> dict[str, float]:
+    rows = counted.mapInArrow(lambda it: _passing(it, weigh), "entry string, w double").collect()
+    return {r["entry"]: r["w"] for r in sorted(rows)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
@@ -158,31 +182,26 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.select(F.col(key).alias("_key"), "_y", "_fold")
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")  # at most TRAIN_ROWS keys
     rest = rows.where(F.col("_fold") != CALIBRATION)
-    toxic, clean = rest.where("_y = 1").select("_text"), rest.where("_y <> 1").select("_text")
-
-    seen = _top(toxic, lambda t: entries_in(set(words(t))), max(LEAST_DOCS, n1 // 1000), MOST_CANDIDATES)
-    wanted = frozenset(seen)
-    also = _top(clean, lambda t: entries_in(set(words(t))) & wanted, 1, MOST_CANDIDATES)
-    ranked = []
-    for entry, a in seen.items():
-        a, b = min(a, n1), min(also.get(entry, 0), n0)
+    rest = rest.select((F.col("_y") == 1).alias("toxic"), "_text")
+
+    def weight(a, b):
+        a, b = min(a, n1), min(b, n0)
         w = _weight(a, b, n1, n0)
-        if w >= 1.5 and _evidence(a, b, n1, n0) >= LEAST_EVIDENCE:
-            ranked.append((w * math.sqrt(a), entry, w))
-    weights = {e: w for _, e, w in sorted(ranked, reverse=True)[:MOST_ENTRIES]}
+        return w if w >= 1.5 and _evidence(a, b, n1, n0) >= LEAST_EVIDENCE else None
+
+    least = max(LEAST_DOCS, n1 // 1000)
+    weights = _weighed(_counted(rest, lambda t: entries_in(set(words(t)))).where(F.col("a") >= least), weight)
 
     def phrases(t):
         found = words(t)
         hit = [bool(weights.keys() & entries_in({w})) for w in found]
         return {f"{a} {b}" for a, b, x, y in zip(found, found[1:], hit, hit[1:]) if x or y}
 
-    exceptions = []
-    if weights:
-        spared = _top(clean, phrases, LEAST_DOCS, MOST_CANDIDATES)
-        if spared:
-            close = frozenset(spared)
-            against = _top(toxic, lambda t: phrases(t) & close, 1, MOST_CANDIDATES)
-            exceptions = [p for p, b in spared.items() if _weight(against.get(p, 0), b, n1, n0) < -0.7][:MOST_EXCEPTIONS]
+    def spared(a, b):
+        w = _weight(a, b, n1, n0)
+        return w if w < -0.7 else None
+
+    exceptions = list(_weighed(_counted(rest, phrases).where(F.col("b") >= LEAST_DOCS), spared)) if weights else []
 
     lexicon = Lexicon(weights, exceptions)
     held = rows.where(F.col("_fold") == CALIBRATION).select(F.col("_y").cast("int"), "_text")

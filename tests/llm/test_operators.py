@@ -170,6 +170,18 @@ def test_toxicity_learns(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in rows)
 
 
+def test_rare_insults_beside_many_frequent_words(spark, monkeypatch):
+    rng = random.Random(8)
+    common = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(5200))
+    rows = [(i, common + (" grobnik" if i % 4 == 0 and i % 3 else ""), "en", "s", 1) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    lexicon = toxicity.learn(docs, labels)
+    assert set(lexicon.weights) == {"=grobnik", "^grob", "^grobn", "^grobni"}
+    monkeypatch.setattr(toxicity, "HELD_COUNTS", 15_000)
+    assert toxicity.learn(docs, labels).weights == lexicon.weights
+
+
 def test_exception_phrases_and_length():
     lexicon = toxicity.Lexicon({"=bad": 3.0, "^ba": 1.0}, ["not bad"])
     automaton = lexicon.automaton()
