@@ -57,10 +57,17 @@ _PLUS = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(PLUS_WORDS)})\s+(?=[0-9])")
 _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _AT = "|".join(AT_WORDS)
 _DOT = "|".join(DOT_WORDS)
+#: At words that are hardly prose, and so may stand bare before a domain with plain dots.
+SURE_AT_WORDS = ("arobase", "arroba")
+_SURE_AT = re.compile(rf"(?i)\s+(?:{'|'.join(SURE_AT_WORDS)})\s+")
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOT_SIGN = rf"\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*|\s+(?:{_DOT})\s+"
+_NO_AT = rf"(?!(?:{_AT})\s+(?!(?:{_AT}|{_DOT})\s)[A-Za-z0-9])"  # "dot at example": the at word is no part of the name
+# possessive and never retried from within a name, so that names of any number of parts take linear time
 _MAIL = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\s*\.\s*|\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*|\s+(?:{_DOT})\s+)[A-Za-z0-9_%+-]+){{0,3}}"
-    rf"(?:(?P<mark>\s*{_OPEN}(?:{_AT}|@){_SHUT}\s*|\s*@\s*)|(?P<bare>\s+(?:{_AT})\s+))"
-    rf"[A-Za-z0-9-]+(?:(?:\.|\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*|\s+(?:{_DOT})\s+|\s+\.\s*|\s*\.\s+(?=[a-z]))[A-Za-z0-9-]+)+"
+    rf"(?i)(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]++(?:(?:\s*\.\s*|{_DOT_SIGN}){_NO_AT}[A-Za-z0-9_%+-]++)*+"
+    rf"(?:(?:(?P<mark>\s*{_OPEN}(?:{_AT}|@){_SHUT}\s*|\s*@\s*)|(?P<bare>\s+(?:{_AT})\s+))"
+    rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT_SIGN}|\s+\.\s*|\s*\.\s+(?=[a-z]))[A-Za-z0-9-]+)+)?+"
 )
 _AT_PART = re.compile(rf"(?i)\s*{_OPEN}(?:{_AT}|@){_SHUT}\s*|\s*@\s*|\s+(?:{_AT})\s+")
 _DOT_PART = re.compile(rf"(?i)\s*{_OPEN}(?:{_DOT}|\.){_SHUT}\s*|\s+(?:{_DOT})\s+|\s*\.\s*")
@@ -197,15 +204,22 @@ def _joined(run: str, at: int) -> list[tuple[int, int, str]]:
     return [e for e in edits if e[0] < e[1]]
 
 
+def _inside(run: str, a: int, b: int) -> bool:
+    """Whether run[a:b] has figures on both sides, a space or hyphen away at most, and fewer than 9 before it."""
+    return re.search(r"[0-9][ -]?$", run[:a]) is not None and re.match(r"[ -]?[0-9]", run[b:]) is not None and len(_digits(run[:a])) < 9
+
+
 def spell_digits(tape: Tape) -> Tape:
     low = _lower(tape.text)
-    if sum(w in SPELLED for w in _LETTERS.findall(low)) < 2:
+    if sum(w in SPELLED for w in _LETTERS.findall(low)) < (1 if "+" in low or _any_of(PLUS_WORDS, low) else 2):
         return tape
     edits = []
     for m in _RUN.finditer(tape.text):
-        if len(_DIGIT_WORD.findall(m[0])) < 2:  # one word among figures is prose
-            continue
         head = re.match(rf"(?i)(?:{'|'.join(PLUS_WORDS)})\s+", m[0])
+        words = list(_DIGIT_WORD.finditer(m[0]))
+        # one word among figures is prose, unless it stands inside a number after a plus that is not yet a phone
+        if len(words) < 2 and not (words and (head or tape.text.endswith("+", 0, m.start())) and _inside(m[0], *words[0].span())):
+            continue
         if head:
             edits.append((m.start(), m.start() + head.end(), "+"))
         edits += _joined(m[0][head.end() if head else 0 :], m.start() + (head.end() if head else 0))
@@ -216,19 +230,24 @@ def open_signs(tape: Tape) -> Tape:
     """Disguised at and dot signs, where the whole reads as an address; "word at word.word" alone is prose."""
     edits, low = [], _lower(tape.text)
     dots = _any_of(DOT_WORDS, low) or any(c in low for c in "([{<")
-    if not dots and "@" not in low:  # bare at words need a dot word or a sign in brackets
+    if not dots and "@" not in low and not _any_of(SURE_AT_WORDS, low):  # other at words need a dot word or a sign in brackets
         return tape
     for m in _MAIL.finditer(tape.text) if "@" in low or _any_of(AT_WORDS, low) else ():
+        if m.lastgroup is None:  # a name without an at sign
+            continue
         whole = m[0]
         at = _AT_PART.search(whole, max(0, (m.start("mark") if m["mark"] else m.start("bare")) - m.start()))
         domain = whole[at.end() :]
-        if m["bare"] and not _DOT_WORD.search(domain):
+        plain = m["bare"] and not _DOT_WORD.search(domain)
+        if plain and not (_SURE_AT.fullmatch(m["bare"]) and _PLAIN_DOMAIN.match(domain)):
             continue
         if m["mark"] and m["mark"].strip() == "@" and not _DOT_WORD.search(domain) and not _DOT_WORD.search(whole[: at.start()]):
             if m["mark"] != "@" and re.search(r"\s\.|\.\s", whole):
                 continue
         local = [(p.start(), p.end(), ".") for p in _DOT_PART.finditer(whole[: at.start()])]
         rest = [(at.end() + p.start(), at.end() + p.end(), ".") for p in _DOT_PART.finditer(domain)]
+        if plain:
+            rest = [e for e in rest if e[1] <= at.end() + _PLAIN_DOMAIN.match(domain).end()]
         if m["mark"] == "@":  # the ends of sentences beside an open address are no disguise
             first = next((i for i, (a, b, _) in enumerate(rest) if i and _NEW_SENTENCE.fullmatch(whole, a, b + 1)), len(rest))
             rest = rest[:first]

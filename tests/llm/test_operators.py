@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -124,6 +125,24 @@ def test_disguises_without_other_hints(text, found):
     assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ("to a.b.c.d.e (at) example.com", [("email", "a.b.c.d.e (at) example.com")]), ("a dot b dot c dot d dot e dot f at g dot org", [("email", "a dot b dot c dot d dot e dot f at g dot org")]),
+    ("jean arobase exemple.fr ici", [("email", "jean arobase exemple.fr")]), ("Juan ARROBA mail.ejemplo.es. luego", [("email", "Juan ARROBA mail.ejemplo.es")]),
+    ("la touche arobase marche. elle", []), ("meet ann at example.com", []), ("..ann (at) b.com", [("email", "..ann (at) b.com")]),
+    ("+49 170 five 234567", [("phone", "+49 170 five 234567")]), ("plus 49 170 five 234567", [("phone", "plus 49 170 five 234567")]), ("+33 612345678 un 2", [("phone", "+33 612345678")]),
+    ("+33 612345678. Un jour", [("phone", "+33 612345678")]), ("room 170 five 234567 of", []),
+])
+def test_rare_disguises(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == found
+
+
+def test_long_dotted_names_take_linear_time():
+    begun = time.process_time()
+    for text in ("a . " * 50_000, "a dot " * 50_000, "a." * 50_000 + "b (at) c.com", "a" * 300_000 + " (.) at"):
+        pii.find(text + " (at) arobase @ ")
+    assert time.process_time() - begun < 20
+
+
 def test_unrelated_words_change_nothing():
     rng = random.Random(7)
     parts = ["plus", "más", "49", "170", "1234567", "+1", "five", "un", "fünf", "nine", "at", "chez", "(at)", "@", "[.]", "dot", ".", " . ", "punto", "ann", "b.com", "example", "O5l", "１", "а", "4111", "10", ",", "\n", "PLUS", "ſix"]
