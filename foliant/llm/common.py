@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -12,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.shared import forget, path_of, settled, shared_dir, small_or_shuffled
+
 #: Rows of text to an Arrow batch; bounds a Python worker's memory when rows are long.
 TEXT_BATCH = 400
-#: Rows that a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def prepare(spark: SparkSession, batch: int = TEXT_BATCH) -> None:
@@ -34,47 +33,6 @@ def prepare(spark: SparkSession, batch: int = TEXT_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.gettempdir()}/foliant-shared"
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def settled(df: DataFrame, name: str, drop: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends, and a lost executor costs nothing.
-
-    ``drop`` lists paths of earlier tables that this one replaces; they are deleted once it is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    for old in drop or []:
-        forget(spark, old)
-    out = spark.read.schema(schema).parquet(path)
-    out._foliant_path = path
-    return out
-
-
-def path_of(df: DataFrame) -> str:
-    return df._foliant_path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``settled`` wrote and nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (the join then shuffles; AQE splits skew)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """``docs`` as one struct column _row beside ``columns``, so that no name of an extra column can clash."""
     whole = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
@@ -94,6 +52,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """All rows if they are ``most`` at most, else those whose key has a hash below a threshold: about 4 % less than ``most``.
+
+    ``key`` should differ between rows. Every executor filters its own rows, so none sends more than its share.
+    """
+    n = rows.count()
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(77), key), 12).cast("double") / F.lit(float(1 << 52))
+    return rows if n <= most else rows.where(share < F.lit(0.96 * most / n))
+
+
+def met(big: DataFrame, small: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``big`` joined with ``small`` on ``on`` (not null), where a row of ``small`` says in ``count`` how many rows it meets.
+
+    Keys that hold over 1/200 of all rows, 200 at most, are broadcast; the others are shuffled.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = small.where(F.col(count) * 200 > total)
+    if hot.isEmpty():
+        return big.join(small, on)
+    keys = F.broadcast(hot.select(*on))
+    cold = small.where(F.col(count) * 200 <= total)
+    return big.join(F.broadcast(hot), on).unionByName(big.join(keys, on, "left_anti").join(cold, on))
+
+
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links u-v reduced to one link from each node to the smallest node of its component among these links."""
     if not len(u):
@@ -163,12 +145,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = settled(small, name, drop=[path_of(now), path_of(large)])
         # links only ever move to smaller ends: equal counts and sums mean that nothing moved
-        print_ = after.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-            F.count_if(F.col("u") < F.col("v")).alias("up"),
-        ).first()
+        print_ = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         mark = (print_["n"], print_["s"])
         if mark == total:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         total, now = mark, after
+
+
+__all__ = [
+    "TEXT_BATCH", "boxed", "bucket_of", "components", "forget", "met", "path_of", "prepare", "sampled", "settled", "shared_dir", "small_or_shuffled", "stars", "table",
+    "unboxed",
+]

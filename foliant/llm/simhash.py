@@ -6,8 +6,8 @@ that differ in at most r bits agree on the whole mask of that v and meet in its
 about 34 bits each (R. Pagh, CoveringLSH, 2016).
 
 Copies share a fingerprint and are one node. A bucket's pairs are verified in blocks inside one task and only links
-that join something new leave it. Buckets of more than ``HOT_BUCKET`` fingerprints are covered anew by a second and a
-third family of masks on top of the first, which stays exact, before their pairs are verified.
+that join something new leave it. Buckets of more than ``HOT_BUCKET`` fingerprints are covered anew by further families
+of masks on top of the first, which stays exact, as long as that splits them; then their pairs are verified.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import boxed, components, path_of, prepare, settled, stars, unboxed
+from foliant.llm.common import boxed, components, forget, met, path_of, prepare, settled, stars, unboxed
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
 HOT_BUCKET = 4096
-LEVELS = 3
 BLOCK = 1024
 
 
@@ -63,12 +62,16 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([*keep, pa.array(found)], names=[*[n for n in names if n != "_text"], "fp"])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, fp): fp holds the fingerprint's 64 bits as a signed long. Null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """Rows (key, fp), and mark if one is given, a row per row of ``docs``; fp holds the 64 bits as a signed long.
+
+    Null and empty texts, and those of white space alone, have fingerprint 0. Repeated rows stay; extra columns are not
+    read. ``mark`` is an expression over ``docs``, of type long.
+    """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_fingerprints, f"key {kind}, fp long")
+    rows = docs.select(F.col(key).alias("key"), *([] if mark is None else [mark.alias("mark")]), F.col(text).alias("_text"))
+    return rows.mapInArrow(_fingerprints, f"key {kind}, {'' if mark is None else 'mark long, '}fp long")
 
 
 def masks(level: int = 0, bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -110,7 +113,7 @@ def _near(x: np.ndarray, radius: int):
 
 def _verified(batches, radius: int):
     """Links (u, v) among rows sorted by bucket. Short buckets are compared by shifted arrays, long ones in blocks."""
-    rest = (np.empty(0, np.int64), np.empty(0, np.int64))
+    held, n = [], 0
 
     def links(bucket, fp):
         x = fp.view(np.uint64)
@@ -139,76 +142,86 @@ def _verified(batches, radius: int):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     for batch in batches:
-        bucket = np.concatenate([rest[0], batch.column(0).to_numpy()])
-        fp = np.concatenate([rest[1], batch.column(1).to_numpy()])
-        if not len(bucket):
-            continue
-        if len(bucket) < 100_000:  # gather more before comparing
-            rest = (bucket, fp)
+        if not batch.num_rows:
             continue
-        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-        rest = (bucket[last:], fp[last:])
-        if last and (out := links(bucket[:last], fp[:last])) is not None:
-            yield out
-    if len(rest[0]) and (out := links(*rest)) is not None:
+        bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        # compare what is held once it is much, at the end of a bucket: each row is gathered once
+        if n >= 100_000 and bucket[-1] != held[0][0][0]:
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            held.append((bucket[:cut], fp[:cut]))
+            if (out := links(*(np.concatenate(z) for z in zip(*held)))) is not None:
+                yield out
+            held, n, bucket, fp = [], 0, bucket[cut:], fp[cut:]
+        held.append((bucket, fp))
+        n += len(bucket)
+    if held and (out := links(*(np.concatenate(z) for z in zip(*held)))) is not None:
         yield out
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that connect what the pairs within the radius connect. ``fps``: distinct fingerprints (fp), settled."""
-    rows, found = _cover(fps, 0), []
-    for level in range(LEVELS):
-        hot = None
-        if level + 1 < LEVELS:
-            hot = settled(rows.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET).select("bucket"), "simhash-hot")
-            if hot.isEmpty():
-                hot = None
-        cold = rows if hot is None else rows.join(hot, "bucket", "left_anti")
-        cold = cold.repartition("bucket").sortWithinPartitions("bucket")
-        found.append(cold.mapInArrow(lambda it: _verified(it, radius), "u long, v long"))
-        if hot is None:
+    rows, found, level, before = _cover(fps, 0), [], 0, None
+    while True:
+        hot = settled(rows.groupBy("bucket").count().where(F.col("count") > HOT_BUCKET), "simhash-hot")
+        most = hot.agg(F.max("count")).first()[0]
+        if most is None or (before is not None and most > 0.9 * before):  # none is hot, or families split them no more
+            found.append(rows)
             break
-        rows = _cover(rows.join(hot, "bucket", "left_semi"), level + 1)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        found.append(rows.join(hot.select("bucket"), "bucket", "left_anti"))
+        level, before = level + 1, most
+        rows = _cover(rows.join(hot.select("bucket"), "bucket", "left_semi"), level)
+    out = None
+    for part in found:
+        part = part.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _verified(it, radius), "u long, v long")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """Adds root (the component's fingerprint) and component (its smallest key) to settled rows (key, fp, ...)."""
+    nodes = first = settled(rows.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("copies")), "simhash-nodes")
+    joined = components(near_links(nodes.select("fp"), radius), "simhash-links")
+    nodes = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
+    nodes = second = settled(nodes, "simhash-nodes", drop=[path_of(first)])
+    lows = settled(nodes.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("fps")), "simhash-lows")
+    nodes = settled(met(nodes, lows, ["root"], "fps").select("fp", "root", "component", "copies"), "simhash-nodes", drop=[path_of(second), path_of(lows)])
+    return met(rows, nodes, ["fp"], "copies").drop("copies")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """A row per row of ``docs``: key, fp (long), root (the component's fingerprint), component (its smallest key).
 
     Null keys keep their rows and take the smallest other key of their component, null if there is none. Repeated
-    rows stay. Empty tables give no rows.
+    rows stay. Texts are read whole, however long; one is held in memory at a time beside its batch. Extra columns are
+    not read, whatever their names. Empty tables give no rows.
     """
-    rows = settled(fingerprints(docs, key, text), "simhash-fps")
-    nodes = first = settled(rows.groupBy("fp").agg(F.min("key").alias("low")), "simhash-nodes")
-    joined = components(near_links(nodes.select("fp"), radius), "simhash-links")
-    nodes = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
-    nodes = settled(nodes.join(lows, "root").select("fp", "root", "component"), "simhash-nodes", drop=[path_of(first)])
-    return rows.join(nodes, "fp").select("key", "fp", "root", "component")
+    return _grouped(settled(fingerprints(docs, key, text), "simhash-fps"), radius).select("key", "fp", "root", "component")
+
+
+def _identity(docs: DataFrame) -> Column:
+    """A hash of a whole row; columns that hold maps do not count."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest key.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicate rows, whatever keys they share.
 
-    Rows without a key stay only in groups that have no key, one to a group; rows that share a key count once.
+    It is the row with the smallest key, rows without a key last; among rows of one key that with the smallest hash of
+    the whole row, so reruns and other partitions keep the same. A key whose rows lie in several groups may stay several
+    times. Texts that are null, empty or white space are one group. Empty tables give no rows; extra columns stay.
     """
     prepare(docs.sparkSession)
-    groups = near_duplicates(docs, key, text)
-    first = settled(groups.groupBy("root").agg(F.min("key").alias("kept"), F.min("fp").alias("kept_fp")), "simhash-kept")
-    keyed = first.where("kept is not null").select("kept")
-    rows = boxed(docs, key=F.col(key))
-    out = rows.join(keyed, F.col("key") == F.col("kept"), "left_semi")
-    twice = groups.where("key is not null").groupBy("key").count().where("count > 1")
-    if not twice.isEmpty():
-        out = out.dropDuplicates(["key"])
-    out = unboxed(out)
-    blank, unkeyed = first.where("kept is null").select("kept_fp"), docs.where(F.col(key).isNull())
-    if not blank.isEmpty() and not unkeyed.isEmpty():
-        named = boxed(unkeyed, _text=F.col(text))
-        prints = named.mapInArrow(_fingerprints, T.StructType([named.schema["_row"], T.StructField("fp", T.LongType())]))
-        kept = prints.join(blank, F.col("fp") == F.col("kept_fp"), "left_semi").dropDuplicates(["fp"])
-        out = out.unionByName(unboxed(kept))
+    rows = settled(fingerprints(docs, key, text, _identity(docs)), "simhash-rows")
+    order = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("key"), F.col("mark").alias("mark"))
+    kept = settled(_grouped(rows, radius).groupBy("root").agg(F.min(order).alias("k")).select("k.key", "k.mark"), "simhash-kept")
+    mine = settled(rows.join(kept, rows["key"].eqNullSafe(kept["key"]) & (rows["mark"] == kept["mark"]), "left_semi").groupBy("key", "mark").count(), "simhash-mine")
+    forget(docs.sparkSession, path_of(kept))
+    forget(docs.sparkSession, path_of(rows))
+    mine = mine.select(F.col("key").alias("_kept"), F.col("mark").alias("_mark"), "count")
+    named = boxed(docs, key=F.col(key), mark=_identity(docs))
+    same = F.col("key").eqNullSafe(F.col("_kept")) & (F.col("mark") == F.col("_mark"))
+    out = unboxed(named.join(mine.where("count = 1"), same, "left_semi"))
+    again = mine.where("count > 1")
+    if not again.isEmpty():  # rows repeated whole: one of each
+        out = out.unionByName(unboxed(named.join(again, same, "left_semi").dropDuplicates(["key", "mark"])))
     return out

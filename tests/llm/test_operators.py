@@ -268,7 +268,7 @@ def plain_print(text):
 
 
 def test_masks_cover():
-    for level in range(simhash.LEVELS):
+    for level in range(4):
         masks = simhash.masks(level)
         assert len(masks) == 15
         rng = random.Random(level)
@@ -302,6 +302,32 @@ def test_simhash_groups(spark, small, monkeypatch, hot):
     assert sorted(kept) == sorted(min(v) for v in low.values())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_dedup_by_row_where_keys_repeat(spark, parts):
+    """Against brute force: one row of each group, the same in any partitioning, and no group is lost."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "a quite different text of words"
+    rows = [(2, a, "x"), (5, b, "x"), (5, a, "x"), (5, b, "x"), (5, b, "y"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (7, c, "x"), (8, None, "x"), (9, "", "x"), (None, " ", "z"), (4, a.upper(), "x")]
+    rng = random.Random(parts)
+    rows += [(rng.choice([1, 2, 3, None]), rng.choice([a, b, "lone " + str(rng.randrange(4))]), rng.choice("xy")) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").withColumn("mark", F.lit(None).cast("int")).repartition(parts)
+    kept = [(r["doc_id"], r["text"], r["_row"]) for r in simhash.deduplicated(docs).collect()]
+    prints = [plain_print(t) for _, t, _ in rows]
+    group = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    least = collections.defaultdict(list)
+    for (k, _, _), g in zip(rows, group):
+        least[g].append((k is None, k or 0))
+    assert len(kept) == len(least) and set(kept) <= set(rows)
+    print_of = dict(zip([t for _, t, _ in rows], group))
+    assert sorted((print_of[t], k is None, k or 0) for k, t, _ in kept) == sorted((g, *min(v)) for g, v in least.items())
+    assert sorted(map(repr, kept)) == sorted(repr((r["doc_id"], r["text"], r["_row"])) for r in simhash.deduplicated(docs.repartition(parts + 1)).collect())
+
+
+def test_simhash_of_a_long_text(spark):
+    text = "word " * 200_000 + "end of it " * 100_000
+    made = simhash.near_duplicates(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {(r["key"], r["fp"] % (1 << 64), r["component"]) for r in made} == {(1, plain_print(text), 1), (2, plain_print(text), 1)}
+
+
 # 7
 
 
