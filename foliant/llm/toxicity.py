@@ -6,12 +6,14 @@ labels. Of the entries that match at one place the heaviest counts. Exception ph
 the lexicon, seen in clean documents instead) cancel the matches in them. The score is a logistic function of the
 weight found and of that weight per word.
 
-At most ``TRAIN_ROWS`` labelled documents (those with the lowest hash) are learned from. Every entry and phrase in them is
-counted and weighed on the executors; only those that pass the thresholds are collected, and all of them are kept.
+At most ``TRAIN_ROWS`` labelled documents (those whose key has a low hash) are learned from. Their texts are gathered in
+one pass and stored. Every entry and phrase in them is counted and weighed on the executors; only those that pass the
+thresholds are collected, and all of them are kept.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -24,25 +26,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import boxed, bucket_of, prepare, unboxed
+from foliant.llm.common import boxed, bucket_of, forget, path_of, prepare, sampled, settled, unboxed
 from foliant.llm.pii import FOLD
 
 TRAIN_ROWS = 60_000
+#: Tasks that the labelled texts are dealt to.
+TRAIN_PARTS = 24
 HELD_COUNTS = 200_000
 LEAST_DOCS, LEAST_EVIDENCE = 6, 28.0
 BEGINNINGS = (4, 5, 6)
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 
-# Digits and signs that stand for letters.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+# Digits and signs that stand for letters; 1 stands for i or l.
+LEET = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 LEET_SIGNS = {"@": "a", "$": "s", "!": "i"}
+ONE = "il"
+#: Ones in a word up to which every mix of readings is tried; beyond it all are read alike.
+MOST_ONES = 3
 
-_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+# between letters, or before two letters at the start of a word
+_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])|(?<!\w)[@$!](?=[^\W\d_]{2})")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def _table() -> dict[int, str | None]:
-    table = {k: v and v.lower() for k, v in FOLD.items()}
+    table = {k: v and LEET.get(v.lower(), v.lower()) for k, v in FOLD.items()}
     for c in range(0xC0, 0x250):
         plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)).lower()
         if plain and plain.isascii():
@@ -52,14 +60,24 @@ def _table() -> dict[int, str | None]:
 
 
 TABLE = _table()
+#: What folding drops, or turns from a sign to a letter or back: it moves the ends of words.
+_MOVES = {c: v for c, v in TABLE.items() if not v or bool(_WORDS.fullmatch(v)) != bool(_WORDS.fullmatch(chr(c)))}
+_MOVING = re.compile("[" + "".join(map(re.escape, map(chr, _MOVES))) + "]")
 
 
-def words(text: str | None) -> list[str]:
-    """The folded words of a whole text."""
+def words(text: str | None, reading=lambda w: w.replace("1", ONE[0])) -> list[str]:
+    """The folded words of a whole text; ``reading`` says how a word with ones is read."""
     text = (text or "").lower()
     if "@" in text or "$" in text or "!" in text:
         text = _SIGN.sub(lambda m: LEET_SIGNS[m[0]], text)
-    return _WORDS.findall(text.translate(TABLE))
+    if not text.isascii() and _MOVING.search(text):
+        text = text.translate(_MOVES)
+    found = _WORDS.findall(text)
+    for i, w in enumerate(found):
+        if not w.isascii() or not w.isalpha():
+            w = w.translate(TABLE)
+            found[i] = reading(w) if "1" in w else w
+    return found
 
 
 def entries_in(found: set[str]) -> set[str]:
@@ -88,9 +106,16 @@ class Lexicon:
             return found
         return None
 
+    def reading(self, word: str) -> str:
+        """``word`` with its ones read so that the heaviest entry matches; as i where none does."""
+        n = word.count("1")
+        mixes = itertools.product(ONE, repeat=n) if n <= MOST_ONES else [x * n for x in ONE]
+        forms = ["".join(itertools.chain(*itertools.zip_longest(word.split("1"), mix, fillvalue=""))) for mix in mixes]
+        return max(forms, key=lambda w: max((self.weights.get(e, 0.0) for e in entries_in({w})), default=0.0))
+
     def features(self, automaton, text: str | None) -> tuple[float, float]:
         """(log(1 + weight), weight per word) of a text; an empty one has none."""
-        found = words(text)
+        found = words(text, self.reading)
         if not found or automaton is None:
             return 0.0, 0.0
         at, spared = {}, []
@@ -100,9 +125,15 @@ class Lexicon:
                 spared.append((start, end))
             elif at.get(start, 0.0) < w:
                 at[start] = w
-        for a, b in spared:
-            for start in [s for s in at if a <= s < b]:
-                del at[start]
+        if spared:
+            spared.sort()
+            reach, i = -1, 0
+            for start in sorted(at):
+                while i < len(spared) and spared[i][0] <= start:
+                    reach = max(reach, spared[i][1])
+                    i += 1
+                if start < reach:
+                    del at[start]
         total = sum(at.values())
         return math.log1p(total), total / (len(found) + 20)
 
@@ -165,36 +196,45 @@ def _weighed(counted: DataFrame, weigh) -> dict[str, float]:
     return {r["entry"]: r["w"] for r in sorted(rows)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
-    """A lexicon from the labelled rows whose key is in no held-out fold; with too few labels it is empty."""
-    prepare(docs.sparkSession)
-    labels = labels.select(key, label)
-    fold = bucket_of(F.col(key), FOLDS)
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold != HELD_OUT))
-    known = known.groupBy(key).agg(F.max(label).alias("_y"), F.max(fold).alias("_fold")).orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)
-    known, size = known.persist(), {}
-    for r in known.groupBy((F.col("_y") == 1).alias("y"), (F.col("_fold") == CALIBRATION).alias("c")).count().collect():
-        size[(r["y"], r["c"])] = r["count"]
-    n1, n0 = size.get((True, False), 0), size.get((False, False), 0)
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS) -> Lexicon:
+    """A lexicon from about ``most`` labelled rows at most whose key is in no held-out fold.
+
+    A key that has both labels counts as toxic; rows of ``docs`` that share a key all learn from its label. Null keys and
+    labels teach nothing, null texts have no words. Without rows of both classes the lexicon is empty. Only key, text
+    and label are read, so extra columns of any name may be there.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    fold = bucket_of(F.col("_key"), FOLDS)
+    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_y")).where(F.col("_key").isNotNull() & F.col("_y").isNotNull() & (fold != HELD_OUT))
+    known = settled(known.groupBy("_key").agg(F.max("_y").alias("_y")), "toxicity-labels")
+    chosen = sampled(known, F.col("_key"), most).select("_key", (F.col("_y") == 1).alias("toxic"), (fold == CALIBRATION).alias("_held"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most ``most`` keys
+    rows = settled(rows.select("toxic", "_held", "_text").repartition(TRAIN_PARTS, "_text"), "toxicity-texts", drop=[path_of(known)])
+    try:
+        return _learned(rows)
+    finally:
+        forget(spark, path_of(rows))
+
+
+def _learned(rows: DataFrame) -> Lexicon:
+    """The lexicon of stored rows (toxic, _held, _text)."""
+    size = {r["toxic"]: r["count"] for r in rows.where("not _held").groupBy("toxic").count().collect()}
+    n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
-        known.unpersist()
         return Lexicon({}, [])
-    known = known.select(F.col(key).alias("_key"), "_y", "_fold")
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")  # at most TRAIN_ROWS keys
-    rest = rows.where(F.col("_fold") != CALIBRATION)
-    rest = rest.select((F.col("_y") == 1).alias("toxic"), "_text")
+    rest = rows.where("not _held").select("toxic", "_text")
 
     def weight(a, b):
-        a, b = min(a, n1), min(b, n0)
         w = _weight(a, b, n1, n0)
         return w if w >= 1.5 and _evidence(a, b, n1, n0) >= LEAST_EVIDENCE else None
 
-    least = max(LEAST_DOCS, n1 // 1000)
-    weights = _weighed(_counted(rest, lambda t: entries_in(set(words(t)))).where(F.col("a") >= least), weight)
+    weights = _weighed(_counted(rest, lambda t: entries_in(set(words(t)))).where(F.col("a") >= LEAST_DOCS), weight)
 
     def phrases(t):
         found = words(t)
-        hit = [bool(weights.keys() & entries_in({w})) for w in found]
+        known: dict[str, bool] = {w: bool(weights.keys() & entries_in({w})) for w in set(found)}
+        hit = [known[w] for w in found]
         return {f"{a} {b}" for a, b, x, y in zip(found, found[1:], hit, hit[1:]) if x or y}
 
     def spared(a, b):
@@ -204,11 +244,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     exceptions = list(_weighed(_counted(rest, phrases).where(F.col("b") >= LEAST_DOCS), spared)) if weights else []
 
     lexicon = Lexicon(weights, exceptions)
-    held = rows.where(F.col("_fold") == CALIBRATION).select(F.col("_y").cast("int"), "_text")
-    found = held.mapInArrow(lambda it: _features(it, lexicon), "y int, x1 double, x2 double").collect()
-    known.unpersist()
-    if found:
-        lexicon.coefficients = _logistic(np.array([[r["x1"], r["x2"]] for r in found]), np.array([r["y"] == 1 for r in found], float))
+    held = rows.where("_held").select(F.col("toxic").cast("int"), "_text")
+    found = held.mapInArrow(lambda it: _features(it, lexicon), "y int, x1 double, x2 double").toArrow()  # at most TRAIN_ROWS rows
+    if found.num_rows:
+        x = np.stack([found["x1"].to_numpy(), found["x2"].to_numpy()], axis=1)
+        order = np.lexsort((found["y"].to_numpy(), *x.T))  # whatever the order of the rows
+        lexicon.coefficients = _logistic(x[order], found["y"].to_numpy()[order].astype(float))
     return lexicon
 
 
@@ -233,7 +274,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int); null and empty texts score as having no match."""
+    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int), one per row of ``docs``.
+
+    Null and empty texts score as having no match. Texts are read whole; work is in proportion to their length. Repeated
+    rows score alike; extra columns stay in _row under any name. Empty tables give no rows.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -249,5 +294,5 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the lexicon learned from ``labels`` calls toxic."""
+    """``docs`` without the rows that the lexicon learned from ``labels`` calls toxic; all columns stay. No labels: all rows stay."""
     return unboxed(scored(docs, learn(docs, labels)).where("predicted = 0"))

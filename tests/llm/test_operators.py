@@ -209,6 +209,49 @@ def test_exception_phrases_and_length():
     assert short[0] == long[0] > 0 and short[1] > long[1]
 
 
+def plain_words(text):
+    """Character by character, without the shortcuts of toxicity.words."""
+    text = re.sub(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])|(?<!\w)[@$!](?=[^\W\d_]{2})", lambda m: toxicity.LEET_SIGNS[m[0]], (text or "").lower())
+    return "".join(toxicity.TABLE.get(ord(c), c) or "" for c in text)
+
+
+def plain_weight(lexicon, text):
+    """(weight, words) by trying every entry and phrase at every word."""
+    found = re.findall(r"[^\W_]+", plain_words(text))
+
+    def best(w):
+        return max([v for e, v in lexicon.weights.items() if (e[0] == "=" and e[1:] == w) or (e[0] == "^" and w.startswith(e[1:]))], default=0.0)
+
+    for i, w in enumerate(found):
+        forms = [w]
+        for k in range(w.count("1")):
+            forms = [f.replace("1", x, 1) for f in forms for x in "il"]
+        if w.count("1") > toxicity.MOST_ONES:
+            forms = [w.replace("1", "i"), w.replace("1", "l")]
+        found[i] = max(forms, key=best)
+    spared = {j for i in range(len(found) - 1) if f"{found[i]} {found[i + 1]}" in lexicon.exceptions for j in (i, i + 1)}
+    return sum(best(w) for i, w in enumerate(found) if i not in spared), len(found)
+
+
+def test_matches_as_a_plain_matcher():
+    lexicon = toxicity.Lexicon({"=bad": 3.0, "^ba": 1.0, "=clown": 2.0, "^vlor": 1.5, "=idiot": 4.0, "^bad": 0.5, "=scum": 2.5}, ["not bad", "bad clown", "vlorx not"])
+    automaton, rng = lexicon.automaton(), random.Random(13)
+    parts = ["bad", "Not", "not bad", "clown", "c1own", "1d1ot", "VLORX", "vlorx not", "b\u0430d", "b4d", "bä\u0308d", "ｂａｄ", "n\u200bot", "$cum", "b@d", "4", "１１", "i1l1i1", "x_bad", "bad,not", "ß", "١", "①", "ba", "baz", "é!a", "•", "\n", "٫x", "З3"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "", "-"]) for _ in range(rng.randint(0, 14)))
+        total, n = plain_weight(lexicon, text)
+        log, density = lexicon.features(automaton, text)
+        assert abs(log - np.log1p(total)) < 1e-9 and abs(density - (total / (n + 20) if n else 0)) < 1e-9, text
+
+
+def test_long_texts_are_scored_in_linear_time():
+    lexicon = toxicity.Lexicon({"=bad": 3.0, "^ba": 1.0}, ["not bad"])
+    automaton, begun = lexicon.automaton(), time.process_time()
+    assert lexicon.features(automaton, "bad not bad " * 420_000)[0] == pytest.approx(np.log1p(3.0 * 420_000))  # 5 MB
+    assert lexicon.features(automaton, "b4d n0t b\u0430d " * 100_000)[0] > 0
+    assert time.process_time() - begun < 30
+
+
 def test_quality_learns(spark):
     docs, labels = separable(spark)
     ensemble = quality.learn(docs, labels)
