@@ -5,7 +5,7 @@ A logistic regression with an L1 penalty weights the rules and drops most. The r
 column expression, so documents are scored by built-in functions only.
 
 Trees and weights are fitted on the driver from the statistics (never the texts) of at most ``TRAIN_ROWS`` labelled
-documents, those with the lowest hash.
+documents, those whose key has a low hash.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import boxed, bucket_of
+from foliant.llm.common import boxed, bucket_of, forget, path_of, sampled, settled
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -24,27 +24,32 @@ TREES, DEPTH, LEAST_LEAF, CUTS = 60, 3, 20, 32
 MOST_RULES = 250
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text by built-in functions; null counts as empty, and shares of nothing are 0."""
+SPACES = " \t\n\x0b\x0c\r"
+LONG_WORD = 20
+#: Patterns whose matches are counted.
+COUNTED = {
+    "capitals": r"\b\p{Lu}[\p{Lu}\p{Nd}]+\b", "initials": r"\b\p{Lu}\p{Ll}", "digits": r"[0-9]+", "signs": r"[%$&*#|<>{}=^~+@_\\/]+", "shouts": r"[!?]+",
+    "sentences": r"[.!?](?:[\x20\x09-\x0D]|$)", "commas": r"[,;:]",
+}
+NAMES = ("chars", "words", "lines", *COUNTED, "longs", "twins", "kinds", "line_kinds")
+
+
+def words_of(text: Column) -> Column:
+    """The words of a whole text, none for a null or empty one."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a whole text by built-in functions, given its words as a column; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-    raw = {
-        "chars": F.char_length(t).cast("double"),
-        "words": count(r"[^\x20\x09-\x0D]+"),
-        "lines": count(r"\n") + 1,
-        "capitals": count(r"\b\p{Lu}[\p{Lu}\p{Nd}]+\b"),
-        "initials": count(r"\b\p{Lu}\p{Ll}"),
-        "digits": count(r"[0-9]+"),
-        "signs": count(r"[%$&*#|<>{}=^~+@_\\/]+"),
-        "shouts": count(r"[!?]+"),
-        "sentences": count(r"[.!?](?:[\x20\x09-\x0D]|$)"),
-        "commas": count(r"[,;:]"),
-        "longs": count(r"[^\x20\x09-\x0D]{21,}"),
-        "twins": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])"),
-        "kinds": F.size(F.array_distinct(F.split(t, r"[\x20\x09-\x0D]+"))).cast("double"),
-        "line_kinds": F.size(F.array_distinct(F.split(t, r"\n"))).cast("double"),
-    }
-    return raw
+    twins = F.zip_with(F.slice(words, F.lit(2), F.size(words)), words, lambda a, b: a == b)  # the last has no successor: null
+    found = {
+        "chars": F.char_length(t), "words": F.size(words), "lines": F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"))) + 1,
+        **{k: F.regexp_count(t, F.lit(p)) for k, p in COUNTED.items()}, "longs": F.size(F.filter(words, lambda w: F.char_length(w) > LONG_WORD)),
+        "twins": F.size(F.filter(twins, lambda x: F.coalesce(x, F.lit(False)))), "kinds": F.size(F.array_distinct(words)), "line_kinds": F.size(F.array_distinct(F.split(t, r"\n"))),
+    }
+    return {k: v.cast("double") for k, v in found.items()}
 
 
 def shares(raw: dict[str, Column]) -> dict[str, Column]:
@@ -55,10 +60,10 @@ def shares(raw: dict[str, Column]) -> dict[str, Column]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column _stat; each statistic is computed once."""
-    raw = docs.withColumn("_raw", F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()]))
-    names = list(statistics(F.lit("")))
-    own = {k: F.col(f"_raw.{k}") for k in names}
+    """``docs`` with a struct column _stat; the words and each statistic are computed once."""
+    raw = docs.withColumn("_words", words_of(F.col(text)))
+    raw = raw.withColumn("_raw", F.struct(*[c.alias(k) for k, c in statistics(F.col(text), F.col("_words")).items()])).drop("_words")
+    own = {k: F.col(f"_raw.{k}") for k in NAMES}
     return raw.withColumn("_stat", F.struct(*[c.alias(k) for k, c in shares(own).items()])).drop("_raw")
 
 
@@ -180,19 +185,31 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 4) -> Ensemb
     return Ensemble(bias, [(tuple((names[f], above, c) for f, above, c in r), v) for r, v in zip(rules, w) if abs(v) > 1e-4])
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ensemble:
-    """A rule ensemble from the labelled rows whose key is not in the held-out fold."""
-    known = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull() & (bucket_of(F.col(key), FOLDS) != HELD_OUT))
-    known = known.groupBy(key).agg(F.min(label).alias("_y")).orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)
-    rows = with_statistics(docs.select(F.col(key), F.col(text)).join(F.broadcast(known), key), text)  # at most TRAIN_ROWS keys
-    rows = rows.select("_y", "_stat.*").collect()
-    names = list(shares({k: F.lit(0.0) for k in statistics(F.lit(""))}))
-    x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
-    order = np.lexsort(x.T)
-    return fit(x[order], np.array([r["_y"] == 1 for r in rows], float)[order], names)
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_ROWS) -> Ensemble:
+    """A rule ensemble from about ``most`` labelled rows at most whose key is not in the held-out fold.
+
+    A key that has both labels counts as 0; rows of ``docs`` that share a key all learn from its label. Null keys and labels
+    teach nothing, null texts count as empty. One class only, or no labels: no rules, the score is the share of that class.
+    Only key, text and label are read, so extra columns of any name may be there.
+    """
+    fold = bucket_of(F.col("_key"), FOLDS)
+    known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_y")).where(F.col("_key").isNotNull() & F.col("_y").isNotNull() & (fold != HELD_OUT))
+    known = settled(known.groupBy("_key").agg(F.min("_y").alias("_y")), "quality-labels")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sampled(known, F.col("_key"), most)), "_key")  # at most ``most`` keys
+    rows = with_statistics(rows, "_text").select("_y", "_stat.*").toArrow()  # a few numbers a row
+    forget(docs.sparkSession, path_of(known))
+    names = list(shares({k: F.lit(0.0) for k in NAMES}))
+    x = np.stack([rows[n].to_numpy() for n in names], axis=1) if rows.num_rows else np.zeros((0, len(names)))
+    y = (rows["_y"].to_numpy() == 1).astype(float)
+    order = np.lexsort((y, *x.T))  # whatever the order of the rows
+    return fit(x[order], y[order], names)
 
 
 def scored(docs: DataFrame, ensemble: Ensemble, text: str = "text") -> DataFrame:
-    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int); null texts score as empty ones."""
+    """Rows (_row: the row of ``docs``, score: 0 to 1, predicted: int), one per row of ``docs``.
+
+    Null texts score as empty ones, texts are read whole, repeated rows score alike; extra columns stay in _row under any
+    name. Empty tables give no rows.
+    """
     out = with_statistics(boxed(docs, text=F.col(text)), "text").select("_row", ensemble.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -259,6 +259,41 @@ def test_quality_learns(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.98 and 0 < len(ensemble.rules) < 200
 
 
+def plain_statistics(text):
+    import regex
+
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    count = lambda p: len(regex.findall(p, t))
+    return [
+        len(t), len(words), t.count("\n") + 1, *[count(p) for p in quality.COUNTED.values()], sum(len(w) > 20 for w in words),
+        sum(a == b for a, b in zip(words, words[1:])), len(set(words)), len(set(t.split("\n"))),
+    ]
+
+
+def test_statistics_as_plain_counts(spark, small):
+    rng = random.Random(14)
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [None, "", " \n\t", "a a a\na", "x" * 30 + " " + "x" * 30, "ÀB C1 Éa! 9,9;\n\n", "word Word " * 100_000]
+    texts += ["".join(rng.choice(["a", "A", " ", "\n", "9", "é", "É", "!", ".", ",", "@_", "\x0b", "a a "]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("w", quality.words_of(F.col("t")))
+    made = rows.select("i", *[c.alias(k) for k, c in quality.statistics(F.col("t"), F.col("w")).items()]).orderBy("i").collect()
+    for r, t in zip(made, texts):
+        assert list(r)[1:] == plain_statistics(t), t
+    whole = quality.with_statistics(rows.select("i", "t"), "t").select("i", "_stat.*").orderBy("i").collect()
+    raw = dict(zip(quality.NAMES, plain_statistics(texts[3])))
+    assert (whole[3]["twins_per_word"], whole[3]["line_words"]) == (raw["twins"] / raw["words"], raw["words"] / raw["lines"])
+
+
+def test_scores_as_rules_applied_by_hand(spark, small):
+    """Every score against the rules of the learned ensemble, applied one by one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ensemble = quality.learn(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    made = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.scored(docs, ensemble).select("_row.doc_id", "score", "predicted").collect()}
+    for r in quality.with_statistics(docs).collect():
+        z = ensemble.bias + sum(w for rule, w in ensemble.rules if all((r["_stat"][n] > c) == above for n, above, c in rule))
+        assert abs(made[r["doc_id"]][0] - 1 / (1 + np.exp(-z))) < 1e-9 and made[r["doc_id"]][1] == int(made[r["doc_id"]][0] >= 0.5)
+
+
 def test_rules_as_columns(spark):
     ensemble = quality.Ensemble(0.5, [((("a", True, 1.0), ("b", False, 2.0)), 1.5), ((("a", False, 1.0),), -0.7)])
     rows = spark.createDataFrame([((0.0, 1.0),), ((2.0, 1.0),), ((2.0, 3.0),)], "_stat struct<a:double,b:double>")
