@@ -28,21 +28,23 @@ def conversations_of(turns: DataFrame, key: str = "conv_id", order: str = "turn"
 def pairs_of(conversations: DataFrame) -> DataFrame:
     """Rows (key, chosen, rejected) from unrated conversations (key: long, turns).
 
-    Chosen is the conversation up to its last assistant turn. Rejected is the same with that reply replaced by one to
-    another question: the last reply of the conversation whose key differs in the lowest bit, or, where there is none,
-    the conversation's own first reply; where that is the only one, the empty reply. Conversations without an
-    assistant turn make no pair. The join is on unique keys.
+    Chosen is the conversation up to its last assistant turn. Rejected is the same with one reply, the k-th of m by
+    k = key modulo m, replaced by one to another question: the last reply of the conversation whose key differs in the
+    lowest bit, or, where there is none, the conversation's own first reply; where that is the only one, the empty reply.
+    So sides part at any reply and may go on for several turns, or never part. Conversations without an assistant turn
+    make no pair. The join is on unique keys.
     """
-    is_reply = lambda t: t["role"] == ASSISTANT
     places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == ASSISTANT)
-    rows = conversations.where(F.exists("turns", is_reply)).withColumn("places", places).withColumn("n", F.element_at("places", -1))
-    rows = rows.select("key", F.slice("turns", 1, F.col("n")).alias("chosen"), (F.size("places") > 1).alias("several"), F.element_at("turns", F.element_at("places", 1))["text"].alias("own"))
+    rows = conversations.where(F.exists("turns", lambda t: t["role"] == ASSISTANT)).withColumn("places", places)
+    rows = rows.select(
+        "key", F.slice("turns", F.lit(1), F.element_at("places", -1)).alias("chosen"), F.element_at("places", (F.pmod("key", F.size("places")) + 1).cast("int")).alias("swapped"),
+        F.when(F.size("places") > 1, F.element_at("turns", F.element_at("places", 1))["text"]).alias("own"),
+    )
     reply = rows.select(F.col("key").bitwiseXOR(F.lit(1)).alias("key"), F.element_at("chosen", -1)["text"].alias("other"))
     rows = rows.join(reply, "key", "left")
-    text = F.coalesce("other", F.when(F.col("several"), F.col("own")), F.lit(""))
-    last = F.array(F.struct(F.lit(ASSISTANT).alias("role"), text.alias("text")))
-    kept = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
-    return rows.select("key", "chosen", F.concat(kept, last).alias("rejected"))
+    other = F.struct(F.lit(ASSISTANT).alias("role"), F.coalesce("other", "own", F.lit("")).alias("text"))
+    rejected = F.transform("chosen", lambda t, i: F.when(i + 1 == F.col("swapped"), other).otherwise(t))
+    return rows.select("key", "chosen", rejected.alias("rejected"))
 
 
 def _rendered(turn: Column, marks) -> Column:
@@ -70,11 +72,15 @@ def _spans(turns: Column, marks) -> Column:
 def formatted(pairs: DataFrame, marks: tuple[str, str, str] = MARKS) -> DataFrame:
     """Rows (key, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask) of pairs (key, chosen, rejected).
 
-    A null side counts as no turns. Sides that agree throughout give two empty completions; sides that differ at once
-    give an empty prompt.
+    A row per row of ``pairs``; extra columns are not read. A null side counts as no turns, null turns, roles and texts as
+    empty. Sides that agree throughout give two empty completions; sides that differ at once give an empty prompt. Turns
+    are compared and rendered whole, however long. Empty tables give no rows.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    rows = pairs.select("key", F.coalesce("chosen", none).alias("a"), F.coalesce("rejected", none).alias("b"))
+    whole = lambda side: F.transform(
+        F.coalesce(side, none), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    )
+    rows = pairs.select("key", whole(F.col("chosen")).alias("a"), whole(F.col("rejected")).alias("b"))
     differs = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
     common = F.when(differs > 0, differs - 1).otherwise(F.greatest(F.size("a"), F.size("b"))).cast("int")
     rows = rows.withColumn("n_common", common)

@@ -11,21 +11,23 @@ from foliant.llm.common import bucket_of, table
 
 OP1 = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER w AS i, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS able
-      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-ends AS (SELECT conv_id, max(i) AS last_i, min(i) AS first_i FROM n WHERE role = 'assistant' GROUP BY conv_id),
-replies AS (SELECT e.conv_id, e.last_i, l.text AS reply, CASE WHEN e.first_i < e.last_i THEN f.text ELSE '' END AS own
-            FROM ends e JOIN n l ON l.conv_id = e.conv_id AND l.i = e.last_i JOIN n f ON f.conv_id = e.conv_id AND f.i = e.first_i),
-pairs AS (SELECT r.conv_id, r.last_i, r.reply, coalesce(o.reply, r.own) AS other FROM replies r LEFT JOIN replies o ON o.conv_id = xor(r.conv_id, 1)),
-heads AS (SELECT p.conv_id, p.last_i, p.reply, p.other,
-    coalesce(string_agg('<|start|>' || n.role || chr(10) || n.text || '<|end|>' || chr(10), '' ORDER BY n.i), '') AS head
-  FROM pairs p LEFT JOIN n ON n.conv_id = p.conv_id AND n.i < p.last_i GROUP BY ALL),
-done AS (SELECT *, '<|start|>assistant' || chr(10) || reply || '<|end|>' || chr(10) AS c,
-    '<|start|>assistant' || chr(10) || other || '<|end|>' || chr(10) AS r, reply = other AS same FROM heads)
-SELECT conv_id, CASE WHEN same THEN last_i ELSE last_i - 1 END::INTEGER AS n_common, CASE WHEN same THEN head || c ELSE head END AS prompt,
-  CASE WHEN same THEN '' ELSE c END AS chosen, CASE WHEN same THEN '' ELSE r END AS rejected,
-  CASE WHEN same THEN '' ELSE '19:' || length(c)::VARCHAR END AS chosen_mask, CASE WHEN same THEN '' ELSE '19:' || length(r)::VARCHAR END AS rejected_mask
-FROM done
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+replies AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS j, count(*) OVER (PARTITION BY conv_id) AS m FROM n WHERE role = 'assistant'),
+ends AS (SELECT conv_id, max(i) AS last_i, max(i) FILTER (WHERE j = ((conv_id % m) + m) % m + 1) AS swapped, arg_max(text, i) AS reply,
+    CASE WHEN max(m) > 1 THEN arg_min(text, i) ELSE '' END AS own FROM replies GROUP BY conv_id),
+pairs AS (SELECT e.conv_id, e.last_i, e.swapped, coalesce(o.reply, e.own) AS other FROM ends e LEFT JOIN ends o ON o.conv_id = xor(e.conv_id, 1)),
+sides AS (SELECT p.conv_id, n.i, n.role, n.text AS a, CASE WHEN n.i = p.swapped THEN p.other ELSE n.text END AS b
+    FROM pairs p JOIN n ON n.conv_id = p.conv_id AND n.i <= p.last_i),
+prefixes AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE a IS DISTINCT FROM b) - 1, max(i)) AS n_common FROM sides GROUP BY conv_id),
+turns AS (SELECT s.conv_id, s.i, s.role, p.n_common, s.i > p.n_common AS later, '<|start|>' || role || chr(10) || a || '<|end|>' || chr(10) AS a,
+    '<|start|>' || role || chr(10) || b || '<|end|>' || chr(10) AS b FROM sides s JOIN prefixes p ON p.conv_id = s.conv_id),
+placed AS (SELECT *, coalesce(sum(length(a)) OVER w, 0)::BIGINT AS a0, coalesce(sum(length(b)) OVER w, 0)::BIGINT AS b0 FROM turns
+    WINDOW w AS (PARTITION BY conv_id, later ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, n_common::INTEGER AS n_common, coalesce(string_agg(a, '' ORDER BY i) FILTER (WHERE NOT later), '') AS prompt,
+  coalesce(string_agg(a, '' ORDER BY i) FILTER (WHERE later), '') AS chosen, coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE later), '') AS rejected,
+  coalesce(string_agg((a0 + 10 + length(role))::VARCHAR || ':' || (a0 + length(a))::VARCHAR, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((b0 + 10 + length(role))::VARCHAR || ':' || (b0 + length(b))::VARCHAR, ',' ORDER BY i) FILTER (WHERE later AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id, n_common
 """
 
 OP7 = """
@@ -35,6 +37,31 @@ r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN nullif(max(page_id) OVER (P
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
 """
 
+OP8 = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+  (('0x' || left(md5('8:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+e AS (SELECT *, greatest(size // (10 ** greatest(length(size::VARCHAR) - 2, 0))::BIGINT * (10 ** greatest(length(size::VARCHAR) - 2, 0))::BIGINT, 1) AS class FROM d),
+classes AS (SELECT source, class, sum(size)::BIGINT AS words FROM e GROUP BY source, class),
+s0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM classes GROUP BY source),
+s1 AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3::DOUBLE AS cap FROM s0),
+s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s1),
+s3 AS (SELECT *, max(CASE WHEN lvl * weight <= cap THEN lvl END) OVER () AS level FROM s2),
+s4 AS (SELECT source, source_size, least(cap, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM s3),
+targets AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE) ELSE 0 END::BIGINT AS certain FROM s4),
+c1 AS (SELECT c.*, t.source_size, t.target, t.certain, greatest(0, t.target - t.certain * t.source_size) AS rest FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+c2 AS (SELECT *, greatest(0, rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(words * sqrt(class)) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS own FROM c1),
+c3 AS (SELECT *, arg_max(own, class) FILTER (WHERE own * sqrt(class) <= 1) OVER (PARTITION BY source) AS level FROM c2),
+c4 AS (SELECT *, CASE WHEN rest <= 0 THEN 0 ELSE least(1, coalesce(level * sqrt(class), 1)) END::DOUBLE AS p FROM c3),
+f AS (SELECT e.*, c.source_size, c.target, c.certain, c.rest, c.p, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) ELSE 0 END AS odds FROM e JOIN c4 c ON e.source IS NOT DISTINCT FROM c.source AND e.class = c.class),
+g AS (SELECT *, odds / (1 + odds) AS place FROM f),
+h AS (SELECT source, place, sum(size) AS words FROM g WHERE p > 0 GROUP BY source, place),
+k AS (SELECT source, place, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2 AS middle FROM h),
+r AS (SELECT g.*, g.certain + CASE WHEN g.p > 0 AND k.middle <= g.rest THEN 1 ELSE 0 END AS copies FROM g LEFT JOIN k ON g.source IS NOT DISTINCT FROM k.source AND g.place = k.place)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM r
+"""
+
 OP9 = """
 WITH RECURSIVE able AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
@@ -148,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": OP1, "op7_warc": OP7, "op9_embedding_near_dups": OP9, "op10_topk_search": OP10}
+    return {"op1_preference_pairs": OP1, "op7_warc": OP7, "op8_mix_sources": OP8, "op9_embedding_near_dups": OP9, "op10_topk_search": OP10}

@@ -35,7 +35,7 @@ def roots(n, pairs):
 
 def duck(small):
     db = duckdb.connect()
-    for t in ("conversations", "embeddings", "pages"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return db
 
@@ -84,6 +84,35 @@ def test_preference_pairs(spark):
     assert (out[5]["n_common"], out[5]["chosen"], len(out[5]["rejected_mask"])) == (1, "", 1)
 
 
+def test_pairs_part_at_any_turn(spark, small):
+    """The pairs of the query, its prefix found turn by turn in plain code."""
+    turns = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        turns[r["conv_id"]].add((r["turn"], r["role"] or "", r["text"] or ""))
+    pairs = preference.pairs_of(preference.conversations_of(spark.read.parquet(f"{small}/conversations.parquet")))
+    made, early, never = {r["key"]: r for r in preference.formatted(pairs).collect()}, 0, 0
+    show = lambda ts: "".join(f"<|start|>{a}\n{b}<|end|>\n" for a, b in ts)
+    for r in pairs.collect():
+        a, b = [[tuple(t) for t in side] for side in (r["chosen"], r["rejected"])]
+        assert a == [t[1:] for t in sorted(turns[r["key"]])][: len(a)] and a[-1][0] == "assistant"
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        early, never = early + (n < len(a) - 1), never + (n == len(a))
+        m = made[r["key"]]
+        assert (m["n_common"], m["prompt"], m["chosen"], m["rejected"]) == (n, show(a[:n]), show(a[n:]), show(b[n:]))
+        for side, mask in ((a, m["chosen_mask"]), (b, m["rejected_mask"])):
+            assert [show(side[n:])[s["start"] : s["end"]] for s in mask] == [f"{t}<|end|>\n" for role, t in side[n:] if role == "assistant"]
+    assert early > len(made) / 10
+
+
+def test_odd_pairs(spark):
+    turn = "struct<role:string,text:string>"
+    long = [("user" if i % 2 == 0 else "assistant", "x" * 5000) for i in range(400)]  # 2 MB
+    rows = [(None, [(None, None)], [("", "")], 1), (1, [None], None, 2), (1, [None], None, 2), (2, long, long[:-1] + [("assistant", "y")], 3)]
+    made = preference.formatted(spark.createDataFrame(rows, f"key long, chosen array<{turn}>, rejected array<{turn}>, prompt int").withColumn("a", F.lit(1))).collect()
+    assert sorted((r["key"] or 0, r["n_common"]) for r in made) == [(0, 1), (1, 0), (1, 0), (2, 399)]
+    assert preference.formatted(spark.createDataFrame([], f"key long, chosen array<{turn}>, rejected array<{turn}>")).count() == 0
+
+
 # 2
 
 
@@ -450,11 +479,79 @@ def test_targets(spark, sizes):
     assert got.keys() == target.keys() and all(abs(got[n] - target[n]) < 1e-6 for n in target)
 
 
+def plain_mix(rows, u, weights=(1, 2, 3)):
+    """Copies of rows (source, size), given each row's u: whole copies, then the lowest ranks until the words left are met."""
+    words, names = collections.Counter(), sorted({s for s, _ in rows}, key=lambda n: (n is None, n or ""))
+    for s, n in rows:
+        words[s] += n
+    weight, left, target, free = {n: weights[i % 3] for i, n in enumerate(names)}, sum(words.values()), {}, set(names)
+    while free:
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        full = {n for n in free if share[n] > 3 * words[n]}
+        target |= {n: 3.0 * words[n] for n in full} if full else share
+        left -= sum(3 * words[n] for n in full)
+        free = free - full if full else set()
+    copies = [0] * len(rows)
+    for s in names:
+        own = [i for i, r in enumerate(rows) if r[0] == s]
+        whole = int(target[s] / words[s] + 1e-12) if words[s] else 0
+        left = max(0.0, target[s] - whole * words[s])
+        z = {i: max(1.0, float(str(rows[i][1])[:2]) * 10 ** max(0, len(str(rows[i][1])) - 2)) ** 0.5 for i in own}
+        lo, hi = 0.0, 2.0  # the level by bisection
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(1.0, mid * z[i]) * rows[i][1] for i in own) < left else (lo, mid)
+        p = {i: min(1.0, hi * z[i]) if left > 0 else 0.0 for i in own}
+        rank = {i: 0.0 if p[i] > 1 - 1e-12 else u[i] / (1 - u[i]) / (p[i] / (1 - p[i])) for i in own if p[i] > 0}
+        groups, taken = collections.defaultdict(list), 0
+        for i, q in rank.items():
+            groups[round(q / (1 + q), 12)].append(i)
+        for i in own:
+            copies[i] = whole
+        for q in sorted(groups):
+            n = sum(rows[i][1] for i in groups[q])
+            if left <= 0 or taken + n / 2 > left + 1e-6:
+                break
+            taken += n
+            for i in groups[q]:
+                copies[i] += 1
+    return copies, target
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_draw_as_plain_pareto_sampling(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 50, 200, 1234])), rng.choice(["a"] * 9 + ["b", "b", "c", None])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"), F.col("text"), seed).alias("u")).collect()}
+    copies, target = plain_mix([(s, len(t.split())) for _, t, s in rows], [u[i] for i, _, _ in rows])
+    made = mixing.mix(docs, mixing.word_count(F.col("text")), seed=seed).collect()
+    assert {r["_row"]["doc_id"]: r["copies"] for r in made} == {i: c for (i, _, _), c in zip(rows, copies)}
+    assert all(abs(r["target"] - target[r["_row"]["source"]]) < 1e-6 for r in made)
+    p = collections.defaultdict(list)  # longer documents are likelier
+    for (_, t, s), c in zip(rows, copies):
+        if s == "a" and t:
+            p[len(t.split())].append(c)
+    assert np.mean(p[1234]) > np.mean(p[50]) >= np.mean(p[1])
+
+
+def test_inclusion_expects_the_words_left(spark):
+    rows = [("a", 1, 100, 5000.0), ("a", 100, 3000, 5000.0), ("a", 5000, 5000, 5000.0), ("b", 10, 10, 0.0), (None, 3, 9, 9.0)]
+    made = mixing.inclusion(spark.createDataFrame(rows, "source string, class long, words long, left double")).collect()
+    got = collections.Counter()
+    for r in made:
+        assert 0 <= r["p"] <= 1
+        got[r["source"]] += r["p"] * r["words"]
+    assert got["a"] == pytest.approx(5000) and got["b"] == 0 and got[None] == pytest.approx(9)
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 50, 200])), "en", rng.choice(["a", "a", "a", "b", "c", None]), 1) for i in range(1500)]
-    rows += [(None, "x y", "en", "b", 1), (None, None, "en", "b", 1), (3, "dup dup", "en", "d", 1), (3, "dup dup", "en", "d", 1)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("z")).withColumn("copies", F.lit("z")).withColumn("u", F.lit(1))
+    rows += [(None, "x y", "en", "b", 1), (None, None, "en", "b", 1), (3, "dup dup", "en", "d", 1), (3, "dup dup", "en", "d", 1), (9999, "w " * 1_000_000, "en", "e", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("size", "copies", "u", "class", "_row", "_m_p"):
+        docs = docs.withColumn(c, F.lit("z"))
     runs = []
     for parts in (1, 7):
         out = mixing.mix(docs.repartition(parts), mixing.word_count(F.col("text"))).collect()
