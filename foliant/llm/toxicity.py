@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = settled(known.groupBy("_key").agg(F.max("_y").alias("_y")), "toxicity-labels")
     chosen = sampled(known, F.col("_key"), most).select("_key", (F.col("_y") == 1).alias("toxic"), (fold == CALIBRATION).alias("_held"))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most ``most`` keys
-    rows = settled(rows.select("toxic", "_held", "_text").repartition(TRAIN_PARTS, "_text"), "toxicity-texts", drop=[path_of(known)])
+    rows = settled(rows.repartition(TRAIN_PARTS, "_key").select("toxic", "_held", "_text"), "toxicity-texts", drop=[path_of(known)])
     try:
         return _learned(rows)
     finally:
