@@ -1,11 +1,12 @@
 """Byte-level BPE by public rank files: encoding in overlapping chunks, decoding by joining raw bytes.
 
-A text of up to ``CHUNK`` characters is one chunk. A longer one is cut into chunks that overlap by ``OVERLAP``; each is
-pre-tokenised on its own, in any task. The pattern never looks back, so two scans that break at the same place go on
-alike: where the breaks of a chunk meet those of the next, the chunks are stitched, and the pieces on either side of
-the seam are encoded by the chunk that knows them. Breaks within ``MARGIN`` characters of a chunk's end are not
-trusted, as the match there might have gone on. Where two chunks share no break (one match longer than the overlap),
-the text is scanned from the last break known, whatever its length, until it meets a later chunk's break.
+A text of up to ``CHUNK`` characters is one chunk. A longer one is cut into chunks that overlap by ``OVERLAP`` and are dealt
+to any tasks. Each chunk is pre-tokenised and encoded where it lies. The pattern never looks back, so two scans that
+break at the same place go on alike: a chunk lists the breaks in the overlaps at its head and tail with the number of its
+ids up to each, and two neighbours are stitched at the first break that both have. Breaks within ``MARGIN`` characters
+of a chunk's end are not trusted, as the match there might have gone on. Stitching reads breaks and ids only, never text.
+
+Where two neighbours share no break (one match longer than the overlap), the text is encoded again in whole.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import prepare
+from foliant.llm.common import prepare, settled
 
-CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 16
+CHUNK, OVERLAP, MARGIN = 1 << 14, 1 << 9, 16
 #: A rank file is sent to the tasks; larger ones are refused.
 MOST_RANK_BYTES = 64 << 20
 
@@ -53,59 +54,47 @@ class Codec:
         piece = self.piece
         return b"".join([piece[i] for i in ids])
 
-    def breaks(self, chunk: str, at: int, whole: bool) -> list[int]:
-        """Ends of the matches in a chunk that starts at ``at`` of its text; without those too near a cut end."""
+    def breaks(self, chunk: str, whole: bool) -> list[int]:
+        """Ends of the matches in a chunk; without those too near its end unless the text ends there (``whole``)."""
         most = len(chunk) if whole else len(chunk) - MARGIN
-        return [at + m.end() for m in self.pattern.finditer(chunk) if m.end() <= most]
-
-    def stitched(self, text: str, known: list[list[int]], step: int) -> list[int]:
-        """All breaks of ``text``, given the trusted breaks that each of its chunks (``step`` apart) found alone."""
-        out, at, k = [], 0, 0
-        while at < len(text):
-            if k < len(known):
-                own = known[k]
-                lo = int(np.searchsorted(own, at, "right")) if k else 0
-                # chunk 0 starts where the text starts; a later chunk counts from a break that both sides know
-                if k == 0 or at == step * k or (lo and own[lo - 1] == at):
-                    new = own[lo:]
-                    out.extend(new)
-                    at = new[-1] if new else at
-                    k += 1
-                    at, out = self._seam(at, out, known, k)
-                    continue
-            end = self.pattern.match(text, at).end()  # no seam: go on from the last break
-            out.append(end)
-            at = end
-            while k + 1 < len(known) and step * (k + 1) <= at:
-                k += 1
-        return out
-
-    @staticmethod
-    def _seam(at: int, out: list[int], known: list[list[int]], k: int) -> tuple[int, list[int]]:
-        """Step back to the last break that chunk ``k`` also has."""
-        if k < len(known) and known[k]:
-            later = set(known[k])
-            for i in range(len(out) - 1, -1, -1):
-                if out[i] < known[k][0]:
-                    break
-                if out[i] in later:
-                    del out[i + 1 :]
-                    return out[i], out
-        return at, out
-
-    def encode_long(self, text: str, known: list[list[int]], step: int) -> list[int]:
-        """Ids of a text of many chunks: stitched, then encoded piece group by piece group."""
-        ids, start, last = [], 0, 0
-        for end in self.stitched(text, known, step):
-            last = end
-            # cut after a match that ends in no white space: what follows can't change the matches before
-            if end - start >= CHUNK and not text[end - 1].isspace():
-                ids.extend(self.encode(text[start:end]))
-                start = end
-        if start < len(text):
-            ids.extend(self.encode(text[start:]))
-        assert last == len(text)
-        return ids
+        return [m.end() for m in self.pattern.finditer(chunk) if m.end() <= most]
+
+    def counted(self, chunk: str, first: bool, last: bool, step: int, overlap: int) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """(ids, breaks in the head overlap, ids up to each, breaks in the tail overlap, ids up to each) of a chunk.
+
+        Breaks count from the chunk's start. The first chunk starts at a break, the last ends at one; ids after the last
+        trusted break of another are left out, as the next chunk has them.
+        """
+        ends = self.breaks(chunk, last)
+        ids, at, marks = [], 0, {}
+        # piece by piece in the overlaps, where ids are counted; in one call between them
+        inner = [e for e in ends if overlap < e < step and not chunk[e - 1].isspace()]
+        jump = (next((e for e in ends if e >= overlap), 0), inner[-1] if inner else 0)
+        for e in ends:
+            if jump[0] < e < jump[1] or e <= at:
+                continue
+            ids.extend(self.encode(chunk[at:e]))
+            at, marks[e] = e, len(ids)
+        heads = [e for e in marks if e <= overlap and not first]
+        tails = [e for e in marks if e >= step and not last]
+        return ids, heads, [marks[e] for e in heads], tails, [marks[e] for e in tails]
+
+
+def stitched(parts, step: int):
+    """The ids of a text from its chunks' (ids, heads, counts, tails, counts) in order; None where neighbours share no break."""
+    out, begin = [], 0
+    for k, (ids, _, _, tails, ends) in enumerate(parts):
+        if k + 1 == len(parts):
+            out.append(ids[begin:])
+            break
+        _, heads, starts, _, _ = parts[k + 1]
+        own = {e - step: n for e, n in zip(tails, ends)}
+        seam = next(((own[h], n) for h, n in zip(heads, starts) if h in own), None)
+        if seam is None:
+            return None
+        out.append(ids[begin : seam[0]])
+        begin = seam[1]
+    return [i for part in out for i in part]
 
 
 def digests(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
@@ -131,62 +120,71 @@ def _out(codec, keys, ids, with_ids):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _chunks(batches):
-    """(row, key, chunk number, chunk) of long texts."""
+def _chunks(batches, chunk, overlap):
+    """(row, mark, key, chunk number, last, chunk) of long texts."""
     for batch in batches:
-        row, key, text = batch.column(0), batch.column(1), batch.column(2)
+        row, mark, key, text = batch.columns
         for i in range(batch.num_rows):
             t = text[i].as_py()
-            for k, at in enumerate(range(0, len(t), CHUNK)):
-                yield pa.RecordBatch.from_arrays(
-                    [row.slice(i, 1), key.slice(i, 1), pa.array([k], pa.int32()), pa.array([at + CHUNK + OVERLAP >= len(t)]), pa.array([t[at : at + CHUNK + OVERLAP]])],
-                    names=["row", "key", "k", "last", "chunk"],
-                )
+            starts = range(0, max(1, len(t) - overlap), chunk)
+            for k, at in enumerate(starts):
+                columns = [row.slice(i, 1), mark.slice(i, 1), key.slice(i, 1), pa.array([k], pa.int32()), pa.array([k + 1 == len(starts)]), pa.array([t[at : at + chunk + overlap]])]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "mark", "key", "k", "last", "chunk"])
 
 
-def _broken(batches, ranks, pattern):
-    codec = Codec(ranks, pattern)
+def _encoded(batches, ranks, pattern, chunk, overlap):
+    codec, names = Codec(ranks, pattern), ("ids", "heads", "starts", "tails", "ends")
     for batch in batches:
-        found = []
-        for k, last, chunk in zip(batch.column("k").to_pylist(), batch.column("last").to_pylist(), batch.column("chunk").to_pylist()):
-            found.append(codec.breaks(chunk, k * CHUNK, last))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "breaks"])
+        found = [codec.counted(c, k == 0, last, chunk, overlap) for k, last, c in zip(*(batch.column(x).to_pylist() for x in ("k", "last", "chunk")))]
+        lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["row", "mark", "key", "k", *names])
 
 
-def _stitch(batches, ranks, pattern, with_ids):
-    """Chunks sorted by row and number; one text at a time."""
-    codec, now, key, chunks, known = Codec(ranks, pattern), None, None, [], []
+def _stitch(batches, ranks, pattern, with_ids, chunk):
+    """Encoded chunks sorted by row and number to a row a text; n_tokens is null where the text must be encoded again."""
+    codec, now, key, mark, parts = Codec(ranks, pattern), None, None, None, []
 
     def done():
-        text = "".join([c[:CHUNK] for c in chunks[:-1]] + chunks[-1:])
-        return _out(codec, key, [codec.encode_long(text, known, CHUNK)], with_ids)
+        ids = stitched(parts, chunk)
+        out = _out(codec, key, [ids or []], with_ids)
+        n = out.column(1) if ids is not None else pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([mark, key, n, *out.columns[2:]], names=["mark", *out.schema.names])
 
     for batch in batches:
-        for i, (row, k, chunk, breaks) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("row", "k", "chunk", "breaks")])):
+        columns = [batch.column(c).to_pylist() for c in ("ids", "heads", "starts", "tails", "ends")]
+        for i, row in enumerate(batch.column("row").to_pylist()):
             if row != now:
-                if chunks:
+                if parts:
                     yield done()
-                now, key, chunks, known = row, batch.column("key").slice(i, 1), [], []
-            chunks.append(chunk)
-            known.append(breaks)
-    if chunks:
+                now, key, mark, parts = row, batch.column("key").slice(i, 1), batch.column("mark").slice(i, 1), []
+            parts.append(tuple(c[i] for c in columns))
+    if parts:
         yield done()
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """A row per row of ``docs``: key, n_tokens (long), ids_sha256, decoded_sha256, and ids (array of int) if asked for.
 
-    Null texts count as empty: no tokens. Repeated rows stay. Both digests of an empty text are that of no bytes.
-    Only texts longer than a chunk are shuffled, chunk by chunk.
+    Null texts count as empty: no tokens. Both digests of an empty text are that of no bytes. Repeated rows stay; null keys
+    stay null; extra columns are not read. Texts are encoded whole; those longer than a chunk are shuffled, chunk by chunk,
+    then their ids. A task holds one text's ids at a time. Empty tables give no rows.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    out = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    found = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = f"key {kind}, {found}"
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    long = F.char_length("text") > CHUNK
+    long = F.char_length("text") > chunk + overlap
     short = rows.where(F.col("text").isNull() | ~long).mapInArrow(lambda it: _short(it, ranks, pattern, with_ids), out)
-    cut = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "key", "text")
-    cut = cut.mapInArrow(_chunks, f"row long, key {kind}, k int, last boolean, chunk string").repartition("row", "k")
-    cut = cut.mapInArrow(lambda it: _broken(it, ranks, pattern), f"row long, key {kind}, k int, last boolean, chunk string, breaks array<long>")
+    mark = F.xxhash64("key", "text")
+    cut = rows.where(long).select(F.monotonically_increasing_id().alias("row"), mark.alias("mark"), "key", "text")
+    cut = cut.mapInArrow(lambda it: _chunks(it, chunk, overlap), f"row long, mark long, key {kind}, k int, last boolean, chunk string").repartition("row", "k")
+    cut = cut.mapInArrow(lambda it: _encoded(it, ranks, pattern, chunk, overlap), f"row long, mark long, key {kind}, k int, ids array<int>, heads array<int>, starts array<int>, tails array<int>, ends array<int>")
     cut = cut.repartition("row").sortWithinPartitions("row", "k")
-    return short.unionByName(cut.mapInArrow(lambda it: _stitch(it, ranks, pattern, with_ids), out))
+    cut = settled(cut.mapInArrow(lambda it: _stitch(it, ranks, pattern, with_ids, chunk), f"mark long, {out}"), "bpe-long")
+    made = short.unionByName(cut.where("n_tokens is not null").drop("mark"))
+    again = cut.where("n_tokens is null").select(F.col("mark").alias("_mark")).distinct()
+    if again.isEmpty():
+        return made
+    whole = rows.where(long).withColumn("mark", mark).join(again, F.col("mark") == F.col("_mark"), "left_semi").select("key", "text")
+    return made.unionByName(whole.mapInArrow(lambda it: _short(it, ranks, pattern, with_ids), out))

@@ -339,24 +339,30 @@ def codec():
     return bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
-def test_stitching(monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK", 64)
-    monkeypatch.setattr(bpe, "OVERLAP", 40)
-    c, rng = codec(), random.Random(5)
-    parts = ["a", "b", " ", "  ", "\n", "\n\n", "'ll", "'", " 12", "é", "!!", "  x", "😀", "a" * 130, "\t", " " * 150]
-    for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 120)))
-        known = [c.breaks(text[at : at + 104], at, at + 104 >= len(text)) for at in range(0, len(text), 64)]
-        assert c.stitched(text, known, 64) == [m.end() for m in c.pattern.finditer(text)]
-        ids = c.encode_long(text, known, 64)
+def test_stitching():
+    """Chunks encoded apart give the ids of the whole text, or say that they share no break."""
+    c, rng, apart = codec(), random.Random(5), 0
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "'ll", "'", " 12", "é", "!!", "  x", "😀", "a" * 130, "\t", " " * 150, "word ", "of the ", "1234", "Ω"]
+    for n in range(3000):
+        text = "".join(rng.choice(parts if n % 3 else parts[:13] + parts[16:]) for _ in range(rng.randint(1, 150)))
+        step, overlap = rng.choice([(64, 40), (100, 60), (300, 50)])
+        starts = range(0, max(1, len(text) - overlap), step)
+        found = [c.counted(text[at : at + step + overlap], k == 0, k + 1 == len(starts), step, overlap) for k, at in enumerate(starts)]
+        ids = bpe.stitched(found, step)
+        if ids is None:
+            apart += 1
+            continue
         assert ids == c.encode(text) and c.decode(ids) == text.encode()
+    assert 0 < apart < 2000
 
 
-def test_long_texts(spark):
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 64, "overlap": 40}, {"chunk": 4096, "overlap": 256}])
+def test_texts_of_any_length(spark, sizes):
     import public_tokenizers
 
-    rows = [(1, "ab c\n\n" * 30000), (2, None), (3, ""), (4, " " * 150000 + "x"), (5, "word's " * 20000), (5, "word's " * 20000), (None, "é")]
-    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, with_ids=True).collect()
+    rows = [(1, "ab c\n\n" * 30000), (2, None), (3, ""), (4, " " * 150000 + "x"), (5, "word's " * 20000), (5, "word's " * 20000), (None, "é"), (6, "x" * 40000), (None, "ab 'll é😀 " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("z")).withColumn("row", F.lit(1)).withColumn("key", F.lit(None).cast("string"))
+    out = bpe.encode(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, with_ids=True, **sizes).collect()
     c = codec()
     want = collections.Counter((k, tuple(c.encode(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in rows)
     assert collections.Counter((r["key"], tuple(r["ids"]), r["decoded_sha256"]) for r in out) == want
