@@ -4,9 +4,11 @@ Vectors are cut into halves with a codebook each; a pair of codewords is a cell.
 the order of the multi-sequence algorithm (Babenko and Lempitsky), as many as the target recall asks for; the number is
 measured on pairs of exactly the threshold's cosine, made from the sample, and on real pairs within the sample. All
 members of a visited cell are verified by cosine in double precision. A link found from either side counts for both.
+With a recall of 1 a vector visits every cell that can hold a vector within the threshold: by the triangle inequality a
+vector of another codeword lies beyond the plane half-way, and the distances of both halves add up.
 
 Equal vectors of one label are one class: found by two 64-bit hashes, compared once, counted with their number. The
-codebooks are fitted on at most ``SAMPLE`` classes (those with the lowest hash); every vector is indexed. Cells of more
+codebooks are fitted on at most ``SAMPLE`` classes (those with a low hash); every vector is indexed. Cells of more
 than ``CELL_ROWS`` members are split into parts by both sides, so no task holds more than that many members.
 """
 
@@ -19,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import components, prepare, settled, small_or_shuffled, stars
+from foliant.llm.common import components, forget, met, path_of, prepare, sampled, settled, small_or_shuffled, stars
 
 COSINE, TARGET = 0.93, 0.995
 SAMPLE, CELL_ROWS, CELL_AIM = 20_000, 4096, 64
-LEAST_WORDS, MOST_WORDS = 4, 256
+#: Codewords a half: as many as cells of the size aimed at ask for, and no more than the sample can place (20 vectors each).
+LEAST_WORDS, MOST_WORDS = 4, SAMPLE // 20
 BATCH = 4096
 
 
@@ -61,10 +64,12 @@ def squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codebooks of both halves and the number of cells that a vector visits."""
+    """Codebooks of both halves and the number of cells that a vector visits; 0: all that can hold a near one."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, visits: int = 1):
         self.first, self.second, self.visits = first, second, visits
+        self.grid = None
+        self.apart = [np.sqrt(np.maximum(squared(w, w), 1e-300)) for w in (first, second)]
 
     @property
     def half(self) -> int:
@@ -79,21 +84,45 @@ class MultiIndex:
         d1, d2 = squared(x[:, : self.half], self.first), squared(x[:, self.half :], self.second)
         o1, o2 = d1.argsort(1), d2.argsort(1)
         n = min(n, len(self.first) * len(self.second))
-        # a cell of ranks (i, j) has (i + 1)(j + 1) - 1 cells at least as near before it
-        i, j = np.meshgrid(np.arange(len(self.first)), np.arange(len(self.second)), indexing="ij")
-        able = (i + 1) * (j + 1) <= n
-        i, j = i[able], j[able]
+        if self.grid is None or self.grid[0] != n:
+            # a cell of ranks (i, j) has (i + 1)(j + 1) - 1 cells at least as near before it
+            i, j = np.meshgrid(np.arange(len(self.first)), np.arange(len(self.second)), indexing="ij")
+            able = (i + 1) * (j + 1) <= n
+            self.grid = n, i[able], j[able]
+        _, i, j = self.grid
         total = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
         order = total.argsort(1, kind="stable")[:, :n]
         return np.take_along_axis(o1[:, i], order, 1) * len(self.second) + np.take_along_axis(o2[:, j], order, 1)
 
-
-def fit(x: np.ndarray, label: np.ndarray, rows_per_label: float, seed: int = 9) -> MultiIndex:
-    """Codebooks from unit vectors, sized for about ``CELL_AIM`` members a cell, and the visits the target asks for."""
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place, 1 first, of a cell in each vector's multi-sequence order."""
+        d1, d2 = squared(x[:, : self.half], self.first), squared(x[:, self.half :], self.second)
+        row = np.arange(len(x))
+        total = d1[row, cells // len(self.second)] + d2[row, cells % len(self.second)]
+        d2, near = np.sort(d2, axis=1), 1e-12  # less than rounding does not count as nearer
+        return np.array([1 + np.searchsorted(d2[i], total[i] - near - d1[i], "left").sum() for i in row])
+
+    def within(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
+        """For each vector every cell that can hold a vector at most ``radius`` away."""
+        bounds = []
+        for part, words, apart in ((x[:, : self.half], self.first, self.apart[0]), (x[:, self.half :], self.second, self.apart[1])):
+            d = squared(part, words)
+            own = d.argmin(1)
+            # half-way planes between the own codeword and each other
+            bounds.append(np.maximum(d - d[np.arange(len(d)), own][:, None], 0) ** 2 / (4 * apart[own] ** 2))
+        most = radius * radius * (1 + 1e-9) + 1e-12
+        return [np.flatnonzero((a[:, None] + b[None, :] <= most).ravel()) for a, b in zip(*bounds)]
+
+
+def fit(x: np.ndarray, label: np.ndarray, rows_per_label: float, seed: int = 9, recall: float = TARGET) -> MultiIndex:
+    """Codebooks from unit vectors, sized for about ``CELL_AIM`` members a cell, and the visits the recall asks for."""
     rng = np.random.default_rng(seed)
     words = int(min(MOST_WORDS, max(LEAST_WORDS, 2 ** round(math.log2(max(1.0, math.sqrt(rows_per_label / CELL_AIM)))))))
     half = x.shape[1] // 2
     index = MultiIndex(kmeans(x[:, :half], words, rng), kmeans(x[:, half:], words, rng))
+    if recall >= 1:
+        index.visits = 0
+        return index
     # worst pairs: a random step from a sampled vector to the threshold's cosine
     a = x[rng.choice(len(x), min(len(x), 2000), replace=False)]
     step = rng.standard_normal(a.shape)
@@ -106,28 +135,25 @@ def fit(x: np.ndarray, label: np.ndarray, rows_per_label: float, seed: int = 9)
         pick = rng.choice(len(u), min(len(u), 200), replace=False) if len(u) else []
         pairs.append((own[u[pick]], own[v[pick]]) if len(u) else (own[:0], own[:0]))
     a, b = (np.concatenate(z) for z in zip(*pairs))
-    every = len(index.first) * len(index.second)
-    found = np.full(len(a), every)
-    for at in range(0, len(a), 256):
-        # either side may find the other
-        for x1, x2 in ((a, b), (b, a)):
-            near = index.nearest(x1[at : at + 256], min(every, 1024))
-            hit = near == index.cells(x2[at : at + 256])[:, None]
-            found[at : at + 256] = np.minimum(found[at : at + 256], np.where(hit.any(1), hit.argmax(1) + 1, every))
-    index.visits = int(np.quantile(found, TARGET, method="higher"))
+    found = np.minimum(index.ranks(a, index.cells(b)), index.ranks(b, index.cells(a)))  # either side may find the other
+    index.visits = int(np.quantile(found, recall, method="higher"))
     return index
 
 
 def _placed(batches, index: MultiIndex, dim: int):
     for batch in batches:
         x = unit(matrix(batch.column("vec"), dim))
-        cells, visits = index.cells(x), index.nearest(x, index.visits)
-        columns = [*batch.columns, pa.array(cells, pa.int32()), pa.array(list(visits.astype(np.int32)), pa.list_(pa.int32()))]
+        # a few rows at a time: a row's cells may be many
+        visits = [v for at in range(0, len(x), 64) for v in (index.nearest(x[at : at + 64], index.visits) if index.visits else index.within(x[at : at + 64], math.sqrt(2 - 2 * COSINE)))]
+        columns = [*batch.columns, pa.array(index.cells(x), pa.int32()), pa.array([v.astype(np.int32) for v in visits], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "visits"])
 
 
-def _verified(batches, dim: int):
-    """Counts and links of a task's buckets: rows sorted by bucket, members (role 0) before visitors (role 1)."""
+def _verified(batches, dim: int, exact: bool):
+    """Counts and links of a task's buckets: rows sorted by bucket, members (role 0) before visitors (role 1).
+
+    If ``exact``, each of two near vectors visits the other's cell, and every link is met twice.
+    """
     now, parts, members = None, [], None
     counts: dict[int, int] = {}
     links, pending = [], 0
@@ -153,7 +179,7 @@ def _verified(batches, dim: int):
                 now, parts, members = bucket[a], [], None
             if role[a] == 0:
                 own = visits.slice(a, b - a)
-                parts.append((ids[a:b], size[a:b], x[a:b], np.asarray(own.flatten()).reshape(b - a, -1)))
+                parts.append((ids[a:b], size[a:b], x[a:b], np.zeros((b - a, 0)) if exact else np.asarray(own.flatten()).reshape(b - a, -1)))
                 continue
             if not parts:
                 continue
@@ -172,7 +198,7 @@ def _verified(batches, dim: int):
                 found, back = np.unique(ids[at:to][q], return_inverse=True)
                 for k, v in zip(found.tolist(), np.bincount(back, weights=msize[m]).astype(np.int64).tolist()):
                     counts[k] = counts.get(k, 0) + v
-                lone = ~(mvisits[m] == cell[at:to][q][:, None]).any(1)  # the member does not visit the visitor's cell
+                lone = np.zeros(len(m), bool) if exact else ~(mvisits[m] == cell[at:to][q][:, None]).any(1)  # the member does not visit the visitor's cell
                 if lone.any():
                     found, back = np.unique(mid[m[lone]], return_inverse=True)
                     for k, v in zip(found.tolist(), np.bincount(back, weights=size[at:to][q[lone]]).astype(np.int64).tolist()):
@@ -183,12 +209,14 @@ def _verified(batches, dim: int):
         yield flush()
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", recall: float = TARGET) -> DataFrame:
     """A row per row of ``vectors``: key, n_links, component, kept.
 
-    Linked are vectors of equal, not null labels and equal length with a cosine of at least ``COSINE``. Vectors that are
-    null, empty, zero or hold null or non-finite parts link with nothing, not even their copies; nor do rows without a
-    label. Rows without a key link like others; a component's id is its smallest key, null if it has none.
+    Linked are vectors of equal, not null labels and equal length with a cosine of at least ``COSINE``: all of them with a
+    ``recall`` of 1, else a share of about ``recall`` at least. Vectors that are null, empty, zero or hold null or
+    non-finite parts link with nothing, not even their copies; nor do rows without a label. Rows without a key link like
+    others; a component's id is its smallest key, null if it has none. Repeated rows stay and link with each other. Extra
+    columns are not read. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -205,11 +233,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     if not about["n"]:
         return _alone(rows)
     dim = max(2, about["dim"] + about["dim"] % 2)
-    drawn = classes.orderBy("h1", "h2").limit(SAMPLE).select(F.xxhash64("label").alias("l"), "vec").collect()
-    x = np.zeros((len(drawn), dim))
-    for i, r in enumerate(drawn):
-        x[i, : len(r["vec"])] = r["vec"]
-    index = fit(unit(x), np.array([r["l"] for r in drawn]), about["n"] / max(1, about["labels"]))
+    drawn = sampled(classes, F.struct("h1", "h2"), SAMPLE).select("h1", F.xxhash64("label").alias("l"), "vec").toArrow().combine_chunks().sort_by("h1")  # SAMPLE vectors at most
+    x = matrix(drawn["vec"].combine_chunks(), dim)
+    index = fit(unit(x), drawn["l"].to_numpy(), about["n"] / max(1, about["labels"]), recall=recall)
+    exact = not index.visits
 
     group = F.xxhash64("label", F.size("vec"))
     placed = classes.select("id", "n", group.alias("group"), "vec").mapInArrow(lambda it: _placed(it, index, dim), "id long, n long, group long, vec array<double>, cell int, visits array<int>")
@@ -226,16 +253,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     s, g = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own"))
     both = both.select(F.xxhash64("group", "at", s, g).alias("bucket"), "role", "id", "n", "cell", "vec", "visits")
     both = both.repartition("bucket").sortWithinPartitions("bucket", "role")
-    found = settled(both.mapInArrow(lambda it: _verified(it, dim), "id long, other long, link boolean"), "embedding-links")
+    found = settled(both.mapInArrow(lambda it: _verified(it, dim, exact), "id long, other long, link boolean"), "embedding-links")
 
     counts = found.where("not link").groupBy("id").agg(F.sum("other").alias("more"))
     joined = components(found.where("link").select(F.col("id").alias("u"), F.col("other").alias("v")), "embedding-components")
     nodes = classes.select("h1", "h2", "low", "n", "id").join(counts, "id", "left").join(joined, F.col("id") == F.col("node"), "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "id"))
-    lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
-    nodes = nodes.join(lows, "root").select("h1", "h2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component")
-    nodes = settled(nodes, "embedding-nodes")
-    linked = rows.where("able").join(nodes, ["h1", "h2"]).select("key", "n_links", "component", F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+    nodes = first = settled(nodes.select("h1", "h2", "low", "n", "more", F.coalesce("root", "id").alias("root")), "embedding-nodes")
+    lows = settled(nodes.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("classes")), "embedding-lows")
+    nodes = met(nodes, lows, ["root"], "classes").select("h1", "h2", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component")
+    nodes = settled(nodes, "embedding-nodes", drop=[path_of(first), path_of(lows)])
+    for done in (classes, placed, found):
+        forget(spark, path_of(done))
+    linked = met(rows.where("able"), nodes, ["h1", "h2"], "n").select("key", "n_links", "component", F.col("key").eqNullSafe(F.col("component")).alias("kept"))
     return linked.unionByName(_alone(rows.where(~F.col("able"))))
 
 
