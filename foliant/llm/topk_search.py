@@ -2,12 +2,13 @@
 
 All vectors are rotated by the right singular vectors of the collection, so their first coordinates hold most of
 their length. A query q meets a block of candidates only if |q| times the block's largest length can reach the query's
-threshold; within a block, the product of the first ``HEAD`` coordinates plus the product of the lengths of the
-residuals (Cauchy-Schwarz) bounds each score, and only candidates whose bound reaches the threshold are scored, in
-exact integers. Thresholds start from the ``FIRST`` longest vectors and rise as blocks, longest first, are read.
+threshold. Within a block, the product of the first ``HEAD`` coordinates plus the product of the lengths of the
+residuals (Cauchy-Schwarz) bounds each score. Where many candidates are left, the next coordinates are added, twice as
+many each time, and the residuals shrink; what is left in the end is scored in exact integers. Thresholds start from the
+``FIRST`` longest vectors and rise as blocks, longest first, are read.
 
-Queries are cut into groups of ``GROUP`` rows and candidates into blocks of about ``BLOCK`` rows of like length; a task
-holds one block and reads its visitors. Work grows with queries times the candidates that pass the length bound.
+Queries are cut into groups and candidates into blocks of like length, each as large as ``BYTES`` allow; a task holds one
+block and reads its visitors. Work grows with queries times the candidates that pass the length bound.
 """
 
 from __future__ import annotations
@@ -17,41 +18,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import prepare, settled, small_or_shuffled
+from foliant.llm.common import forget, path_of, prepare, settled, small_or_shuffled
 from foliant.llm.embedding_dedup import matrix
 
 SCALE, TOP = 64, 20
-FIRST, BLOCK, GROUP, HEAD = 2048, 4096, 1024, 16
-#: Largest component for which a sum of products over 4096 dimensions is exact in doubles.
-EXACT = 1 << 20
+FIRST, HEAD = 2048, 16
+#: Doubles of a block or of a group of queries; and rows that one has at least, where the collection is small.
+BYTES, LEAST_BLOCK = 16 << 20, 4096
+#: Share of candidates left from which the next coordinates are added rather than rows picked.
+MANY = 0.02
+#: Largest length of a vector of integers; any product of two then fits a long.
+LONGEST = float(1 << 31)
 
 
 def quantised(vec: Column) -> Column:
-    """floor(64 * x) of each component x, as double; null for vectors that take no part."""
+    """floor(64 * x) of each component x, as double; null for vectors that take no part.
+
+    Those are null or hold null or non-finite components, or are longer than ``LONGEST`` once quantised: their scores need
+    not fit a long.
+    """
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
+    large = F.exists(vec, lambda x: F.abs(x.cast("double")) * SCALE > LONGEST)
     whole = F.transform(vec, lambda x: F.floor(x.cast("double") * F.lit(float(SCALE))).cast("double"))
-    return F.when(vec.isNotNull() & ~bad, whole)
+    return F.when(vec.isNotNull() & ~bad & ~large & (length_of(whole) <= LONGEST), whole)
+
+
+def length_of(vec: Column) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
 
 
 class Rotation:
-    """An orthogonal map from the collection's second moments, and the slack that rounding in it may take."""
+    """An orthogonal map from the collection's second moments, and the ends of the partial sums."""
 
     def __init__(self, moments: np.ndarray):
         _, vectors = np.linalg.eigh(moments)
-        self.vectors = vectors[:, ::-1].copy()
+        self.vectors, dim = vectors[:, ::-1].copy(), len(moments)
+        self.ends = [min(dim, HEAD << k) for k in range(64) if k == 0 or HEAD << (k - 1) < dim]
 
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first coordinates, length of the rest) of each row."""
-        head = x @ self.vectors[:, :HEAD]
-        rest = np.sqrt(np.maximum((x * x).sum(1) - (head * head).sum(1), 0.0))
-        return head, rest
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(rotated rows, the length of what lies beyond each end)."""
+        turned = x @ self.vectors
+        total = (x * x).sum(1)
+        # what rounding may take is added by the caller in proportion to whole lengths
+        return turned, [np.sqrt(np.maximum(total - (turned[:, :e] ** 2).sum(1), 0.0)) for e in self.ends]
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise integer inner products of integer-valued doubles."""
-    if not len(a) or max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= EXACT:
-        return (a * b).sum(1).astype(np.int64)
-    return np.array([sum(int(x) * int(y) for x, y in zip(u, v)) for u, v in zip(a, b)], np.int64)
+    """Row-wise inner products of integer-valued doubles, in 64-bit integers: no product of two vectors is larger."""
+    return (a.astype(np.int64) * b.astype(np.int64)).sum(1)
 
 
 def best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -102,26 +116,28 @@ def _searched(batches, rotation: Rotation, k: int, dim: int):
                 crow, cid, cx = (np.concatenate(z) for z in zip(*parts))
                 order = np.argsort(-(cx * cx).sum(1), kind="stable")  # longest first
                 cx = cx[order]
-                block = (crow[order], cid[order], cx, *rotation(cx), np.sqrt((cx * cx).sum(1)))
+                block = (crow[order], cid[order], cx, rotation(cx), np.sqrt((cx * cx).sum(1)))
             yield from _against(block, row[a:b], ids[a:b], x[a:b], floor[a:b].copy(), rotation, k)
 
 
 def _against(block, row, ids, q, floor, rotation, k):
-    crow, cid, cx, chead, crest, clength = block
-    qhead, qrest = rotation(q)
+    crow, cid, cx, (cturned, crest), clength = block
+    qturned, qrest = rotation(q)
     qlength = np.sqrt((q * q).sum(1))
-    dense = max(np.abs(q).max(initial=0), np.abs(cx).max(initial=0)) <= EXACT
     kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     for at in range(0, len(cx), 512):
         to = min(len(cx), at + 512)
         able = np.flatnonzero(qlength * clength[at] * (1 + 1e-9) + 1e-6 >= floor)  # the longest that is left
         if not len(able):
             break
-        bound = qhead[able] @ chead[at:to].T + np.outer(qrest[able], crest[at:to])
-        bound += np.outer(qlength[able], clength[at:to]) * 1e-9 + 1e-6
-        left = bound >= floor[able][:, None]
-        if dense and left.mean() > 0.02:  # many are left: whole products cost less than picking rows; integers, so exact
-            left &= q[able] @ cx[at:to].T >= floor[able][:, None]
+        slack = np.outer(qlength[able], clength[at:to]) * 1e-9 + 1e-6
+        partial, begin = np.zeros((len(able), to - at)), 0
+        for step, end in enumerate(rotation.ends):
+            partial += qturned[able, begin:end] @ cturned[at:to, begin:end].T
+            bound = partial + slack if end == len(rotation.vectors) else partial + np.outer(qrest[step][able], crest[step][at:to]) + slack
+            left, begin = bound >= floor[able][:, None], end
+            if left.mean() <= MANY:
+                break
         i, j = np.nonzero(left)
         i, j = able[i], j + at
         ok = row[i] != crow[j]
@@ -142,41 +158,50 @@ def _against(block, row, ids, q, floor, rotation, k):
         yield pa.RecordBatch.from_arrays([pa.array(row[kept[0]]), pa.array(ids[kept[0]]), pa.array(cid[kept[1]]), pa.array(kept[2])], names=names)
 
 
+def _dealt(n: int, dim: int, spark) -> int:
+    """In how many parts n vectors are dealt: as few as memory allows, but some for each core where they are many."""
+    return max(1, -(-n * dim * 8 // BYTES), min(-(-n // LEAST_BLOCK), 2 * spark.sparkContext.defaultParallelism))
+
+
 def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vec: str = "embedding", k: int = TOP) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best candidates of each row for which ``queries`` holds.
 
-    Candidates are all rows but the query's own. Vectors that are null or hold null or non-finite components take no
-    part; shorter ones count as padded with zeros; empty ones are zero. Rows without a key take no part, as results
-    name keys. Repeated rows are candidates of their own and queries of their own.
+    Candidates are all rows but the query's own. Vectors that are null, hold null or non-finite components or are longer
+    than ``LONGEST`` once quantised take no part; shorter ones count as padded with zeros; empty ones are zero. Rows
+    without a key take no part, as results name keys. Repeated rows are candidates of their own and queries of their own.
+    Ties go to the smaller id. Extra columns are not read, but ``queries`` may. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    prepare(spark, BLOCK)
+    prepare(spark, 1024)
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(F.col(vec)).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = rows.where("vec is not null").withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))
+    rows = rows.where("vec is not null").withColumn("length", length_of(F.col("vec")))
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
-    about = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    about = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"), F.count_if("asks").alias("asked")).first()
     dim, n = max(1, about["dim"] or 1), about["n"]
-    found = rows.select("vec").mapInArrow(lambda it: _moments(it, dim), "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part"))
-    moments = np.zeros(dim * dim)
-    for r in found.collect():  # dim * dim numbers
-        moments[r["cell"]] = r["part"]
+    found = rows.select("vec").mapInArrow(lambda it: _moments(it, dim), "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).toArrow()
+    moments = np.zeros(dim * dim)  # dim * dim numbers come to the driver
+    moments[found["cell"].to_numpy()] = found["part"].to_numpy()
     rotation = Rotation(moments.reshape(dim, dim))
 
     # blocks of like length; a length that many vectors share is spread over several blocks
-    blocks = max(1, -(-n // BLOCK))
-    placed = rows.select("row", "id", "vec", "length").repartitionByRange(blocks, F.col("length").desc(), F.col("row"))
+    placed = rows.select("row", "id", "vec", "length").repartitionByRange(_dealt(n, dim, spark), F.col("length").desc(), F.col("row"))
     placed = settled(placed.withColumn("block", F.spark_partition_id()), "topk-blocks")
-    extent = small_or_shuffled(settled(placed.groupBy("block").agg(F.max("length").alias("most")), "topk-extent"))
-    longest = placed.orderBy(F.col("length").desc(), "row").limit(FIRST).select("row", "vec").collect()
-    first, firsts = np.array([r["row"] for r in longest], np.int64), np.zeros((len(longest), dim))
-    for i, r in enumerate(longest):
-        firsts[i, : len(r["vec"])] = r["vec"]
+    extent = settled(placed.groupBy("block").agg(F.max("length").alias("most"), F.count("*").alias("rows")), "topk-extent")
+    # thresholds start from the first blocks, which hold the longest: FIRST vectors of them
+    begun, total = [], 0
+    for r in extent.orderBy("block").limit(FIRST).collect():
+        begun.append(r["block"])
+        total += r["rows"]
+        if total >= FIRST:
+            break
+    longest = placed.where(F.col("block").isin(begun)).select("row", "vec", "length").orderBy(F.col("length").desc(), "row").limit(FIRST).toArrow().combine_chunks()
+    first, firsts = longest["row"].to_numpy(), matrix(longest["vec"].combine_chunks(), dim) if longest.num_rows else np.zeros((0, dim))
 
     asked = rows.where("asks").select("row", "id", "vec", "length")
     asked = asked.mapInArrow(lambda it: _first_thresholds(it, first, firsts, k, dim), "row long, id long, vec array<double>, length double, floor double")
-    groups = settled(asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(1 << 30))), "topk-queries")
-    count = max(1, -(-groups.count() // GROUP))
-    groups = groups.withColumn("group", F.pmod("group", F.lit(count)))
+    parts = max(1, -(-about["asked"] * dim * 8 // BYTES))
+    groups = settled(asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(parts))), "topk-queries", drop=[path_of(rows)])
+    extent = small_or_shuffled(extent)
     visits = groups.join(extent, F.col("length") * F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
     met = visits.select("block", "group").distinct()
     own = F.xxhash64("block", "group").alias("bucket")
