@@ -29,6 +29,7 @@ SKIPPABLE = 0x184D2A5D
 LEVEL, DICTIONARY_BYTES = 3, 32 << 10
 SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_EACH = 400, 1 << 20, 8 << 10
 SPACE = uuid.UUID("5f0d8a0e-6f6e-5f0b-9a55-3f1a1f0c7d10")
+READ_BYTES = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -107,25 +108,45 @@ class Writer:
             self._begin()
 
 
+def frame_end(data, at: int) -> int | None:
+    """Where the Zstandard frame that begins at ``at`` ends, by its header and block sizes; None if ``data`` ends before."""
+    if len(data) < at + 5:
+        return None
+    if bytes(data[at : at + 4]) != zstandard.FRAME_HEADER:
+        raise ValueError("no Zstandard frame")
+    flags = data[at + 4]
+    single, dictionary, size = flags >> 5 & 1, (0, 1, 2, 4)[flags & 3], (1 if flags >> 5 & 1 else 0, 2, 4, 8)[flags >> 6]
+    place = at + 5 + (not single) + dictionary + size
+    while len(data) >= place + 3:
+        head = int.from_bytes(data[place : place + 3], "little")
+        place += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)  # a run of one byte, or the block itself
+        if head & 1:
+            place += 4 * (flags >> 2 & 1)
+            return place if place <= len(data) else None
+    return None
+
+
 def read(stream):
-    """Yield the decompressed records of an archive, one at a time."""
+    """Yield the decompressed records of an archive, one at a time; each byte is copied once, however many frames there are."""
     head = stream.read(8)
-    dictionary, left = None, head
+    dictionary, data = None, head
     if len(head) == 8 and struct.unpack("<II", head)[0] == SKIPPABLE:
-        dictionary, left = zstandard.ZstdCompressionDict(stream.read(struct.unpack("<II", head)[1])), b""
+        dictionary, data = zstandard.ZstdCompressionDict(stream.read(struct.unpack("<II", head)[1])), b""
     decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    at, want = 0, READ_BYTES
     while True:
-        frame, out = decompressor.decompressobj(), []
-        while not frame.eof:
-            if not left:
-                left = stream.read(1 << 20)
-                if not left:
-                    if out:
-                        raise ValueError("an archive ends within a record")
-                    return
-            out.append(frame.decompress(left))
-            left = frame.unused_data if frame.eof else b""
-        yield b"".join(out)
+        view = memoryview(data)
+        end = frame_end(view, at)
+        if end is None:  # read on; a frame longer than what is held doubles the next read
+            more = stream.read(want)
+            if not more:
+                if at < len(data):
+                    raise ValueError("an archive ends within a record")
+                return
+            data, at, want = bytes(view[at:]) + more, 0, READ_BYTES if at else 2 * want
+            continue
+        yield decompressor.decompressobj().decompress(view[at:end])
+        at = end
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -202,7 +223,12 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write archives of ``pages`` into ``folder`` (a URI all executors reach); the manifest (path, records, bytes)."""
+    """Write archives of ``pages`` into ``folder`` (a URI all executors reach); the manifest (path, records, bytes).
+
+    A record per row of ``pages``: null html is an empty payload, null urls and ids are left out, repeated rows are records
+    of their own, payloads are stored whole. Other columns are not read. Empty tables write no archive and give no rows.
+    Without ``folder`` the archives go to this application's shared folder and are deleted with it.
+    """
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

@@ -465,6 +465,29 @@ def test_archives(spark):
         assert f.read(4) == (0x184D2A5D).to_bytes(4, "little")
 
 
+def test_frames_one_by_one(tmp_path):
+    """Archives of many small and some large frames, read in any portions, in linear time."""
+    import io
+
+    rng = random.Random(18)
+    records = [warc.record(i, "u", bytes(rng.choices(b"abc <>", k=rng.choice([0, 5, 900]))), "s", None) for i in range(3000)]
+    records += [warc.record(1, "u", bytes(rng.getrandbits(8) for _ in range(3_000_000)), "s", None), warc.record(2, "u", b"x" * 5_000_000, "s", None), b""]
+    out = io.BytesIO()
+    writer = warc.Writer(out)
+    for r in records:
+        writer.add(r)
+    writer.close()
+    assert list(warc.read(io.BytesIO(out.getvalue()))) == records
+    with pytest.raises(ValueError):
+        list(warc.read(io.BytesIO(out.getvalue()[:-3])))
+    begun, many = time.process_time(), io.BytesIO()
+    writer = warc.Writer(many)
+    for i in range(60_000):
+        writer.add(records[i % 3000])
+    writer.close()
+    assert sum(1 for _ in warc.read(io.BytesIO(many.getvalue()))) == 60_000 and time.process_time() - begun < 20
+
+
 # 8
 
 
