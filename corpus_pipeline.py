@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage takes the documents that the one before kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage takes the documents that the one before kept, written as Parquet and read again.
+
+In every stage null and empty texts are texts of no words (never toxic, one group of near-duplicates, nothing to redact, no
+tokens), null ids and repeated rows are rows like others, extra columns stay but in the last, and an empty table gives an
+empty one. Texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +12,21 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe, mixing, pii, simhash
 from foliant.llm import toxicity as toxicity_operator
-from foliant.llm.common import settled, table
+from foliant.llm.common import path_of, settled, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that a lexicon learned from the labels calls toxic."""
+    """Drop the documents that a lexicon learned from the labels calls toxic; without labels none."""
     return toxicity_operator.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep the document with the smallest id of each group of near-duplicates; rows decide, so ids may repeat."""
     return simhash.deduplicated(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data, open or disguised, by marks."""
+    """Replace personal data, open or disguised, by marks; n_chars follows the text."""
     return pii.redacted(docs)
 
 
@@ -50,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(stage(spark, docs, sf_dir), f"pipeline-{name}", drop=before)  # the table before is read no more
+        before = [path_of(docs)]
     return STAGES[-1][1](spark, docs, sf_dir)
