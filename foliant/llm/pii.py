@@ -2,7 +2,7 @@
 
 A transducer rewrites a text and keeps, for each character it writes, the source characters it read. Chained, they
 fold homoglyphs (letters and digits that look like ASCII, full width forms, invisible characters dropped), spelled
-digits ("five five", "fünf", "plus") and disguised separators ("(at)", " at ", "[dot]", " punkt "). Identifiers are
+digits ("five five", "double five", "twenty one", "fünf", "plus") and disguised separators ("(at)", " at ", "[dot]", " punkt "). Identifiers are
 detected in the rewritten text by the same rules as in the source, and their spans mapped back. A disguised span is
 added unless it lies within one of the same kind that the source text shows openly; open ones are never changed.
 """
@@ -46,6 +46,14 @@ SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Words that repeat the digit after them, and English numbers of two digits.
+TIMES = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
+TENS = {"twenty": "two", "thirty": "three", "forty": "four", "fifty": "five", "sixty": "six", "seventy": "seven", "eighty": "eight", "ninety": "nine"}
+TEENS = {
+    "ten": "one zero", "eleven": "one one", "twelve": "one two", "thirteen": "one three", "fourteen": "one four", "fifteen": "one five", "sixteen": "one six", "seventeen": "one seven",
+    "eighteen": "one eight", "nineteen": "one nine",
+}
+UNITS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 PLUS_WORDS = ("plus", "más", "mas")
 AT_WORDS = ("at", "arobase", "arroba", "chez")
 DOT_WORDS = ("dot", "point", "punkt", "punto", "period")
@@ -54,6 +62,14 @@ _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:(?:{'|'.join(PLUS_WORDS)})\s+)?(?:(?:{_WORDS})|[0-9])(?:(?:[\s.,-]{{1,3}}(?:{'|'.join(DOT_WORDS)})[\s.,-]{{1,3}}|[\s.,()-]{{0,3}})(?:(?:{_WORDS})|[0-9]))+(?![^\W_])")
 _DIGIT_WORD = re.compile(rf"(?i)(?<![^\W\d_])(?:{_WORDS})(?![^\W\d_])")
 _PLUS = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(PLUS_WORDS)})\s+(?=[0-9])")
+_LARGE = tuple([*TIMES, *TENS, *TEENS])
+_LONG, _TEN = tuple(w for w in _LARGE if w != "ten"), re.compile(r"\bten\b")
+_NUMBERS = "|".join(sorted([*SPELLED, *_LARGE], key=len, reverse=True))
+_NUMBER_RUN = re.compile(rf"(?i)(?<![^\W_])(?:{_NUMBERS})(?:[\s,.-]{{1,3}}(?:(?:{'|'.join(DOT_WORDS)})[\s,.-]{{1,3}})?(?:(?:{_NUMBERS})(?![^\W_])|[0-9]++))++(?![^\W_])")
+_NUMBER_WORD = re.compile(
+    rf"(?i)(?<![^\W_])(?:(?P<times>{'|'.join(TIMES)})[\s,.-]{{1,3}}(?P<what>(?:{_WORDS})(?![^\W_])|[0-9](?![0-9]))"
+    rf"|(?P<tens>{'|'.join(TENS)})(?![^\W_])(?:[\s-](?P<unit>{'|'.join(UNITS)})(?![^\W_]))?|(?P<teens>{'|'.join(sorted(TEENS, key=len, reverse=True))})(?![^\W_]))"
+)
 _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _AT = "|".join(AT_WORDS)
 _DOT = "|".join(DOT_WORDS)
@@ -186,6 +202,26 @@ def fold_homoglyphs(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), FOLD[ord(m[0])] or "") for m in _UNUSUAL.finditer(tape.text) if ord(m[0]) in FOLD])
 
 
+def number_words(tape: Tape) -> Tape:
+    """Repeated digits and numbers of two digits as single digits in words, beside other numbers in words only."""
+    low = _lower(tape.text)
+    if not _any_of(_LONG, low) and not ("ten" in low and _TEN.search(low)):
+        return tape
+    edits = []
+    for run in _NUMBER_RUN.finditer(tape.text):
+        if len(_LETTERS.findall(run[0])) < 2:
+            continue
+        for m in _NUMBER_WORD.finditer(tape.text, run.start(), run.end()):
+            if m["times"]:
+                new = " ".join([m["what"]] * TIMES[m["times"].lower()])
+            elif m["tens"]:
+                new = f"{TENS[m['tens'].lower()]} {m['unit'] or 'zero'}"
+            else:
+                new = TEENS[m["teens"].lower()]
+            edits.append((m.start(), m.end(), new))
+    return tape.rewrite(edits)
+
+
 def _joined(run: str, at: int) -> list[tuple[int, int, str]]:
     """Edits that turn a run of spelled and plain digits into digits; separators between two spelled ones go."""
     edits, last = [], None
@@ -283,7 +319,7 @@ def digit_letters(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-TRANSDUCERS = (fold_homoglyphs, digit_letters, spell_digits, plus_words, open_signs)
+TRANSDUCERS = (fold_homoglyphs, digit_letters, number_words, spell_digits, plus_words, open_signs)
 
 
 def disguised(text: str) -> list[tuple[str, int, int]]:
@@ -339,7 +375,11 @@ def _rows(batches):
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: key, counts of open spans by kind, base_sha256, spans, n_added (long)."""
+    """A row per row of ``docs``: key, counts of open spans by kind, base_sha256, spans, n_added (long).
+
+    Null and empty texts have no spans; texts are searched whole, in time in proportion to their length. Null keys stay
+    null, repeated rows stay, extra columns are not read. Empty tables give no rows.
+    """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
@@ -347,7 +387,11 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind's mark; ``length``, if it is a column, follows."""
+    """``docs`` with every span of ``text`` replaced by its kind's mark; ``length``, if it is a column, follows.
+
+    Overlapping spans give one mark, of the first. Null and empty texts and null lengths of them stay; all other columns
+    and repeated rows stay as they are. Empty tables give no rows.
+    """
     prepare(docs.sparkSession)
 
     def rewrite(batches):

@@ -165,6 +165,22 @@ def test_rare_disguises(text, found):
     assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ("call plus one double two triple five oh nine six now", [("phone", "plus one double two triple five oh nine six")]), ("plus forty nine one seventy double 3 six seven eight", [("phone", "plus forty nine one seventy double 3 six seven eight")]),
+    ("+1 five five five twenty-three forty 12 four", [("phone", "+1 five five five twenty-three forty 12 four")]), ("+49 170 1234567 ten people", [("phone", "+49 170 1234567")]),
+    ("ip ten dot one dot two dot three", [("ip", "ten dot one dot two dot three")]), ("a double room for twenty, ten of us", []), ("más uno doble dos tres cuatro cinco seis siete ocho", [("phone", "más uno doble dos tres cuatro cinco seis siete ocho")]),
+])
+def test_numbers_in_words(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == found
+
+
+def test_a_long_text_in_linear_time():
+    begun = time.process_time()
+    text = "ten double five twenty one (at) b dot c plus 49 one two " * 20_000  # 1 MB
+    base, every = pii.find(text)
+    assert base == [] and len(every) >= 20_000 and time.process_time() - begun < 30
+
+
 def test_long_dotted_names_take_linear_time():
     begun = time.process_time()
     for text in ("a . " * 50_000, "a dot " * 50_000, "a." * 50_000 + "b (at) c.com", "a" * 300_000 + " (.) at"):
