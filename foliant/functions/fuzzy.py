@@ -1,14 +1,19 @@
-"""Fuzzy similarity from 0 to 100; with rapidfuzz if installed and asked for, else by longest matching blocks."""
+"""Fuzzy similarity from 0 to 100: by rapidfuzz where it is installed, else by longest matching blocks."""
 
 from __future__ import annotations
 
 import difflib
+import importlib.util
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def rapid_installed() -> bool:
+    return importlib.util.find_spec("rapidfuzz") is not None
+
+
 def fuzzy_score(query: str, text: str, rapid: bool = False) -> float:
     if not text:
         return 0.0

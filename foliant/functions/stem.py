@@ -1,6 +1,7 @@
 """Porter's stemmer (M. F. Porter, An algorithm for suffix stripping, 1980), written from the paper's rules.
 
-Words of more than 20 or fewer than 3 characters, and words with other than ASCII letters, stay as they are.
+Words of fewer than 3 or more than 64 bytes stay as they are. Suffixes are ASCII letters; any other byte of a word counts as a
+consonant, as it does in the full-text index whose stems these have to equal.
 """
 
 from __future__ import annotations
@@ -53,10 +54,16 @@ def _swap(word: str, table, least: int) -> str:
 
 
 def porter(word: str) -> str:
-    if not 3 <= len(word) <= 20 or not word.isascii() or not word.isalpha():
+    if word.isascii():
+        return _stem(word)
+    return _stem(word.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "replace")  # byte by byte
+
+
+def _stem(word: str) -> str:
+    if not 3 <= len(word) <= 64:
         return word
     # plurals
-    if word.endswith("sses") or word.endswith("ies"):
+    if (word.endswith("sses") and len(word) > 4) or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]

@@ -58,10 +58,14 @@ def folding_pairs() -> tuple[str, str]:
 _ODD, _BASE = folding_pairs()
 
 
+#: Diacritics that follow their letter.
+_MARKS = "".join(map(chr, range(0x300, 0x332)))
+
+
 def fold(c: Column) -> Column:
-    """Letters with one diacritic as their base; letters with two stay."""
-    return F.translate(c, _ODD, _BASE)
+    """Letters with one diacritic as their base, diacritics of their own dropped; letters with two stay."""
+    return F.translate(c, _ODD + _MARKS, _BASE)
 
 
 def fold_text(s: str) -> str:
-    return s.translate(str.maketrans(_ODD, _BASE))
+    return s.translate(str.maketrans(_ODD, _BASE, _MARKS))

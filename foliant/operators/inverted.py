@@ -1,31 +1,63 @@
-"""The inverted index: postings (term, doc_id, field, tf), doc_stats (doc_id, n_tokens), corpus (n_docs, avg_tokens)."""
+"""The inverted index: postings (term, doc_id, field, tf, positions), doc_stats (doc_id, n_tokens), corpus (n_docs, avg_tokens)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.functions.text import TOKEN, blank_if_null, fold, tokens
-from foliant.operators.ranking import stemmed_terms
+from foliant.functions.stem import porter
+from foliant.functions.text import TOKEN, blank_if_null, fold, fold_text, tokens
 
 FIELDS = ("title", "authors", "year", "abstract", "keywords", "fulltext")
-
-
-def words(papers: DataFrame, key: str = "id", fields=FIELDS) -> DataFrame:
-    """(doc_id, field, word, tf): counted within the row's partition before any exchange."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields])
-    rows = papers.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part"))
-    rows = rows.select("doc_id", F.col("part.field").alias("field"), F.explode("part.words").alias("word"))
-    return rows.groupBy("doc_id", "field", "word").agg(F.count("*").alias("tf"))
+#: Postings to an Arrow batch, and stems that a task remembers.
+BATCH, REMEMBERED = 50_000, 500_000
+
+
+def _postings(batches, stem: bool):
+    """Postings of rows (doc_id, field, words): a text is counted where it lies, without any exchange."""
+    known: dict[str, str] = {}
+    for batch in batches:
+        rows, terms, counts, places = [], [], [], []
+
+        def flush():
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array(terms, pa.string()), batch.column(0).take(at), batch.column(1).take(at), pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "field", "tf", "positions"])
+
+        for i, words in enumerate(batch.column(2).to_pylist()):
+            found: dict[str, list[int]] = {}
+            for p, w in enumerate(words):
+                if stem:
+                    term = known.get(w)
+                    if term is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        term = known[w] = porter(w)
+                    w = term
+                if w in found:
+                    found[w].append(p)
+                else:
+                    found[w] = [p]
+            rows.extend([i] * len(found))
+            terms.extend(found)
+            counts.extend(map(len, found.values()))
+            places.extend(found.values())
+            if len(rows) >= BATCH:
+                yield flush()
+                rows, terms, counts, places = [], [], [], []
+        if rows:
+            yield flush()
 
 
 def postings(papers: DataFrame, key: str = "id", stem: bool = True, fields=FIELDS) -> DataFrame:
-    """Postings; with ``stem``, distinct words are folded and stemmed once each and joined back."""
-    rows = words(papers, key, fields)
-    if not stem:
-        return rows.withColumnRenamed("word", "term").select("term", "doc_id", "field", "tf")
-    terms = stemmed_terms(rows)
-    return rows.join(terms, "word").groupBy("term", "doc_id", "field").agg(F.sum("tf").alias("tf"))
+    """Postings; with ``stem``, words are folded and stemmed. Positions count the words of a field from 0."""
+    own = lambda f: tokens(fold(F.lower(blank_if_null(F.col(f)))) if stem else F.col(f))
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), own(f).alias("words")) for f in fields])
+    rows = papers.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part")).select("doc_id", F.col("part.field").alias("field"), F.col("part.words").alias("words"))
+    kinds = [("term", T.StringType()), ("doc_id", papers.schema[key].dataType), ("field", T.StringType()), ("tf", T.LongType()), ("positions", T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(lambda it: _postings(it, stem), T.StructType([T.StructField(n, k) for n, k in kinds]))
 
 
 def doc_stats(papers: DataFrame, key: str = "id", fields=FIELDS) -> DataFrame:
@@ -38,17 +70,41 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
 
 
-def write(papers: DataFrame, folder: str, partitions: int | None = None, stem: bool = True) -> None:
-    """Write the index; postings are ordered by term across files, so a prefix reads few row groups."""
-    rows = postings(papers, stem=stem)
-    rows = rows.repartitionByRange(partitions, "term", "doc_id") if partitions else rows.repartitionByRange("term", "doc_id")
-    rows.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    doc_stats(papers).write.mode("overwrite").parquet(f"{folder}/doc_stats")
-    corpus_stats(papers.sparkSession.read.parquet(f"{folder}/doc_stats")).write.mode("overwrite").parquet(f"{folder}/corpus")
+def write(rows: DataFrame, folder: str) -> None:
+    """Write postings ordered by term across files, so that a term or prefix reads few row groups."""
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
+
+
+def phrase_terms(phrase: str) -> list[str]:
+    """The stored terms of a phrase, in order: words folded and stemmed."""
+    import regex
+
+    return [porter(w) for w in regex.findall(TOKEN, fold_text(phrase.lower()))]
+
+
+def _follow(found: Column, terms: list[str]) -> Column:
+    """Whether one field of ``found`` (array of field, term, positions) holds the terms one after the other."""
+    starts = None
+    for j, term in enumerate(terms):
+        # where the phrase would start, as field and position; places of a field never meet those of another
+        own = F.flatten(F.transform(F.filter(found, lambda x: x["term"] == term), lambda x: F.transform(x["positions"], lambda p: F.struct(x["field"].alias("f"), (p - j).alias("p")))))
+        starts = own if starts is None else F.array_intersect(starts, own)
+    return F.size(starts) > 0
+
 
+def with_phrases(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(doc_id) of the documents that hold every phrase (stored terms in order) within a field of theirs.
 
-def read(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "doc_stats", "corpus"))
+    A phrase without terms is found nowhere; no phrases: no documents. Only the postings of these terms are read, and a
+    document's meet in one row: as many as fields times terms.
+    """
+    wanted = sorted({t for p in phrases for t in p})
+    if not phrases or not all(phrases):
+        return postings.select("doc_id").limit(0)
+    rows = postings.where(F.col("term").isin(wanted)).groupBy("doc_id").agg(F.collect_list(F.struct("field", "term", "positions")).alias("found"))
+    for p in phrases:
+        rows = rows.where(_follow(F.col("found"), p))
+    return rows.select("doc_id")
 
 
-__all__ = ["FIELDS", "corpus_stats", "doc_stats", "fold", "postings", "read", "words", "write"]
+__all__ = ["FIELDS", "corpus_stats", "doc_stats", "phrase_terms", "postings", "with_phrases", "write"]

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
-from foliant.functions.fuzzy import fuzzy_score, may_pass
+from foliant.functions.fuzzy import fuzzy_score, may_pass, rapid_installed
 from foliant.functions.querytext import index_prefixes, parse_year_range, split_terms
-from foliant.functions.stem import porter, porter_udf
-from foliant.functions.text import blank_if_null, fold, fold_text, tokens
+from foliant.functions.stem import porter
+from foliant.functions.text import blank_if_null, fold_text, tokens
+from foliant.shared import settled
 
 RESULT_COLUMNS = ("id", "path", "filename", "title", "authors", "year", "abstract", "keywords", "preview", "doi", "arxiv_id")
 FALLBACK_FIELDS = ("title", "keywords", "abstract", "authors", "fulltext")
@@ -58,10 +59,10 @@ def bm25(docs: DataFrame, prefixes: list[str], weights: dict[str, float], key: s
 def bm25_indexed(postings: DataFrame, doc_stats: DataFrame, corpus: DataFrame, stems: list[str], weights: dict[str, float]) -> DataFrame:
     """Rows (doc_id, bm25) from the inverted index, for prefixes of stored terms."""
     weight = reduce(lambda c, kv: c.when(F.col("field") == kv[0], kv[1]), weights.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
-    found = None
-    for i, p in enumerate(stems):
-        part = postings.where(F.col("term").startswith(p)).groupBy("doc_id").agg(F.sum(weight * F.col("tf")).alias("f")).withColumn("phrase", F.lit(i))
-        found = part if found is None else found.unionByName(part)
+    begins = [F.col("term").startswith(p) for p in stems]
+    # one scan of the terms that any prefix begins; a term counts for each prefix of its own
+    rows = postings.where(reduce(lambda a, b: a | b, begins)).select("doc_id", (weight * F.col("tf")).alias("f"), F.explode(F.array_compact(F.array(*[F.when(b, i) for i, b in enumerate(begins)]))).alias("phrase"))
+    found = settled(rows.groupBy("doc_id", "phrase").agg(F.sum("f").alias("f")), "bm25-found")  # read for the counts and for the scores
     counts = found.groupBy("phrase").agg(F.count("*").alias("hits"))  # a row per phrase of the query
     rows = found.join(F.broadcast(counts), "phrase").join(doc_stats, "doc_id").crossJoin(F.broadcast(corpus))
     one = term_score(idf(F.col("n_docs"), F.col("hits")), F.col("f"), F.col("n_tokens"), F.col("avg_tokens"))
@@ -98,8 +99,12 @@ def exact_bonus(terms: list[str], weights: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def fuzzy_bonus(terms: list[str], weights: dict[str, float], rapid: bool = False):
-    """A pandas UDF over the fuzzy fields: half the weight times the similarity, where no exact match counts."""
+def fuzzy_bonus(terms: list[str], weights: dict[str, float], rapid: bool | None = None):
+    """A pandas UDF over the fuzzy fields: half the weight times the similarity, where no exact match counts.
+
+    ``rapid``: score by rapidfuzz; by default where it is installed.
+    """
+    rapid = rapid_installed() if rapid is None else rapid
 
     @F.pandas_udf("double")
     def bonus(title: pd.Series, abstract: pd.Series, keywords: pd.Series) -> pd.Series:
@@ -147,6 +152,7 @@ def search(papers: DataFrame, query: str, years=None, top_n: int = 30, settings:
             stems = list(dict.fromkeys(porter(fold_text(p.lower())) for p in prefixes))
             scores = bm25_indexed(*index, stems, settings.bm25_weights).withColumnRenamed("doc_id", "id")
         rows = candidates(scores, papers, settings, top_n, years)
+        rows = settled(rows, "candidates")  # a few hundred rows, read below and asked here whether there are any
         if rows.isEmpty():
             rows = None
     if rows is None:
@@ -157,11 +163,6 @@ def search(papers: DataFrame, query: str, years=None, top_n: int = 30, settings:
     return relevance(rows, bonus, top_n).select(*RESULT_COLUMNS, "relevance")
 
 
-def stemmed_terms(words: DataFrame, column: str = "word") -> DataFrame:
-    """(word, term) of distinct words: folded, then stemmed."""
-    return words.select(column).distinct().withColumn("term", porter_udf(fold(F.col(column))))
-
-
 def result_cards(results: DataFrame) -> DataFrame:
     """What a presenter shows of results: title or file name, up to six keyword chips, short DOI, band and bar width."""
     chips = F.filter(F.transform(F.slice(F.split("keywords", "[;,·]"), 1, 6), lambda x: F.trim(x)), lambda x: x != "")

@@ -157,7 +157,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) SELECT term, doc_id, 'text' AS field, count(*) AS tf FROM w GROUP BY term, doc_id")
 def postings(spark, sf_dir):
-    return inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",))
+    return inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",)).select("term", "doc_id", "field", "tf")
 
 
 @query()

@@ -1,7 +1,7 @@
 """Append-only intake: new page rows or files reach the library in micro-batches.
 
-Each batch is an incremental update without removals. A file source notices new files only; changed or vanished ones
-need a batch update (``Library.update_from_files``).
+Each batch is a segment of its own, so it costs what it holds, beside a look at the narrow manifest (path, time, size).
+A file source notices new files only; changed or vanished ones need a batch update (``Library.update_from_files``).
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.incremental import needs_indexing
-from foliant.plans.library import COLUMNS, Library, paper_rows
+from foliant.plans.library import Library
 
 
 def pages_stream(spark, folder: str) -> DataFrame:
@@ -20,14 +19,8 @@ def pages_stream(spark, folder: str) -> DataFrame:
 
 def take_in(library: Library, batch: DataFrame, epoch: int) -> None:
     """Add a batch; rows that the library already has unchanged are skipped, so a batch that runs twice adds nothing."""
-    from foliant.operators.incremental import upsert
-
-    old = library.papers().select(*COLUMNS)
-    todo = needs_indexing(batch, old).dropDuplicates(["path"])
-    if todo.isEmpty():
-        return
-    papers = upsert(old, paper_rows(todo, library.settings)).select(*COLUMNS)
-    library.snapshots.commit({"papers": papers}, library._derive)
+    if not batch.isEmpty():
+        library.add(batch)
 
 
 def start(stream: DataFrame, library: Library, checkpoint: str):
