@@ -24,6 +24,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def shown(done: int, total: int) -> None:
+    print(f"\r{done} of {total} tasks", end="", file=sys.stderr, flush=True)
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     """Exit code: 0 well, 1 errors on the way, 2 wrong arguments."""
     p = parser()
@@ -54,7 +58,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         done = library.collect(args.index, args.dest, args.keywords, args.match_case)
         print(f"matched {done.matched}, copied {done.copied}, already there {done.skipped_existing}, no papers {done.skipped_nonpaper}, errors {done.errors}")
         return int(done.errors > 0)
-    stats = library.update_from_files(os.path.abspath(args.index), args.force)
+    stats = library.update_from_files(os.path.abspath(args.index), args.force, progress=shown if sys.stderr.isatty() else None)
+    for sample in stats.error_samples:
+        print(f"not indexed: {sample}", file=sys.stderr)
     print(f"total {stats.total}, indexed {stats.indexed}, cached {stats.skipped}, errors {stats.errors}, no papers {library.count_nonscholarly()}")
     if args.query:
         for row in library.search(args.query, args.years, args.top).toLocalIterator():

@@ -111,7 +111,8 @@ def body(pages: Column, most: int) -> Column:
 def signals(found: dict[str, Column]) -> Column:
     """The names of the signals a record shows, in a fixed order, as an array."""
     text = F.concat_ws(" ", *[blank_if_null(found[c]) for c in ("title", "abstract", "keywords", "fulltext")])
-    marker = F.lower(F.regexp_extract(text, "(?i)" + "|".join(rf"\Q{m}\E" for m in MARKERS), 0))
+    # one lower-cased body for all names: a pattern that ignores case tries each letter twice at every place
+    marker = F.regexp_extract(F.lower(text), "|".join(rf"\Q{m}\E" for m in MARKERS), 0)
     shown = (
         (blank_if_null(found["doi"]) != "", F.lit("DOI")),
         (blank_if_null(found["arxiv_id"]) != "", F.lit("arXiv id")),
@@ -139,13 +140,14 @@ def fields(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     pages = F.transform("pages", blank_if_null)
     rows = rows.withColumn("_page", F.get(pages, F.lit(0))).withColumn("_front", F.array_join(F.slice(pages, 1, min(2, settings.front_pages)), "\n"))
-    rows = rows.withColumn("_title", title(F.col("_page")))
+    rows = rows.withColumn("_lines", lines(F.col("_page")))  # once, for title and authors
+    rows = rows.withColumn("_title", title_of(F.col("_lines")))
     rows = rows.withColumns({
-        "title": F.left(clean(F.col("_title")), F.lit(300)), "authors": F.left(clean(authors(F.col("_page"), F.col("_title"))), F.lit(300)),
+        "title": F.left(clean(F.col("_title")), F.lit(300)), "authors": F.left(clean(let(F.lower(strip(F.col("_title"))), lambda name: authors_of(F.col("_lines"), name))), F.lit(300)),
         "year": year(F.col("_front")), "abstract": abstract(F.col("_front"), settings), "keywords": keywords(F.col("_front")),
         "fulltext": clean(body(F.col("pages"), settings.fulltext_chars)), "doi": doi(F.col("_front")), "arxiv_id": arxiv_id(F.col("_front")),
     }).withColumn("preview", F.left("fulltext", F.lit(settings.preview_chars)))
-    rows = with_class(rows.drop("_page", "_front", "_title"), settings)
+    rows = with_class(rows.drop("_page", "_front", "_lines", "_title"), settings)
     empty = F.coalesce(F.size("pages"), F.lit(0)) <= 0
     texts = ("title", "authors", "year", "abstract", "keywords", "fulltext", "preview", "doi", "arxiv_id", "doc_reason")
     rows = rows.withColumns({c: F.when(empty, F.lit("")).otherwise(blank_if_null(F.col(c))) for c in texts})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space as a character class, wider than Java's \s, and its inside; word characters likewise.
 W_IN = r"\s\x1c-\x1f\x85\p{Z}"
 W = f"[{W_IN}]"
+#: The same characters one by one, for functions that take no pattern.
+W_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WC = r"[\p{L}\p{N}_]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -26,7 +28,7 @@ def blank_if_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, f"^{W}+|{W}+$", "")
+    return F.btrim(c, F.lit(W_CHARS))
 
 
 def clean(c: Column) -> Column:

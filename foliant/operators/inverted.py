@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from foliant.functions.stem import porter
 from foliant.functions.text import TOKEN, blank_if_null, fold, fold_text, tokens
+from foliant.shared import send_code
 
 FIELDS = ("title", "authors", "year", "abstract", "keywords", "fulltext")
 #: Postings to an Arrow batch, and stems that a task remembers.
@@ -53,6 +54,7 @@ def _postings(batches, stem: bool):
 
 def postings(papers: DataFrame, key: str = "id", stem: bool = True, fields=FIELDS) -> DataFrame:
     """Postings; with ``stem``, words are folded and stemmed. Positions count the words of a field from 0."""
+    send_code(papers.sparkSession)
     own = lambda f: tokens(fold(F.lower(blank_if_null(F.col(f)))) if stem else F.col(f))
     parts = F.array(*[F.struct(F.lit(f).alias("field"), own(f).alias("words")) for f in fields])
     rows = papers.select(F.col(key).alias("doc_id"), F.explode(parts).alias("part")).select("doc_id", F.col("part.field").alias("field"), F.col("part.words").alias("words"))

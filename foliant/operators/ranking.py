@@ -1,6 +1,6 @@
 """Ranked search: field-weighted BM25, year and class filters, exact and fuzzy re-ranking, relevance from 0 to 100.
 
-Two plans give the same scores. ``bm25`` reads documents: a phrase's weighted frequency is a row-wise expression, so
+Two plans give the same scores. ``bm25`` reads documents once: a phrase's weighted frequency is a row-wise expression, so
 the only exchange is the one-row aggregate of corpus statistics. ``bm25_indexed`` reads the inverted index
 (``operators.inverted``): prefixes are literal filters that reach the scan of postings sorted by term.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
@@ -18,7 +18,7 @@ from foliant.functions.fuzzy import fuzzy_score, may_pass, rapid_installed
 from foliant.functions.querytext import index_prefixes, parse_year_range, split_terms
 from foliant.functions.stem import porter
 from foliant.functions.text import blank_if_null, fold_text, tokens
-from foliant.shared import settled
+from foliant.shared import send_code, settled
 
 RESULT_COLUMNS = ("id", "path", "filename", "title", "authors", "year", "abstract", "keywords", "preview", "doi", "arxiv_id")
 FALLBACK_FIELDS = ("title", "keywords", "abstract", "authors", "fulltext")
@@ -49,6 +49,7 @@ def bm25(docs: DataFrame, prefixes: list[str], weights: dict[str, float], key: s
     hits = lambda c, p: F.size(F.filter(c, lambda w: F.startswith(w, F.lit(p.lower()))))
     frequencies = [reduce(lambda a, b: a + b, [F.lit(weights[c]) * hits(c, p) for c in names]).alias(f"f{i}") for i, p in enumerate(prefixes)]
     rows = words.select(key, reduce(lambda a, b: a + b, [F.size(c) for c in names]).cast("double").alias("length"), *frequencies)
+    rows = settled(rows, "bm25-rows")  # a few numbers a document; read for the statistics and for the scores, so texts are read once
     about = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(prefixes))])
     scored = rows.crossJoin(F.broadcast(about))  # one row
     parts = [term_score(idf(F.col("n"), F.col(f"n{i}")), F.col(f"f{i}"), F.col("length"), F.col("mean")) for i in range(len(prefixes))]
@@ -105,6 +106,7 @@ def fuzzy_bonus(terms: list[str], weights: dict[str, float], rapid: bool | None
     ``rapid``: score by rapidfuzz; by default where it is installed.
     """
     rapid = rapid_installed() if rapid is None else rapid
+    send_code(SparkSession.getActiveSession())
 
     @F.pandas_udf("double")
     def bonus(title: pd.Series, abstract: pd.Series, keywords: pd.Series) -> pd.Series:

@@ -111,6 +111,11 @@ def count_nonscholarly(spark, sf_dir):
     return envelope.papers(spark, sf_dir).where("is_scholarly = 0").agg(F.count("*").alias("n"))
 
 
+@query(on_papers("SELECT count(*) AS n FROM papers"))
+def count_indexed(spark, sf_dir):
+    return envelope.papers(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
 @query(on_papers("SELECT id, title FROM papers WHERE is_scholarly = 1"))
 def scholarly_filter(spark, sf_dir):
     return envelope.papers(spark, sf_dir).where("is_scholarly = 1").select("id", "title")
@@ -217,7 +222,7 @@ candidates AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS posit
 
 
 def _candidates(spark, sf_dir):
-    papers = envelope.papers(spark, sf_dir)
+    papers = envelope.stored(spark, sf_dir)
     return ranking.candidates(ranking.bm25(papers, TERMS, SETTINGS.bm25_weights), papers, SETTINGS, 30, "1960-2030")
 
 
@@ -254,16 +259,33 @@ def search_relevance(spark, sf_dir):
 
 @query()
 def search_fuzzy(spark, sf_dir):
-    return ranking.search(envelope.papers(spark, sf_dir), SEARCH, "1960-2030")
+    return ranking.search(envelope.stored(spark, sf_dir), SEARCH, "1960-2030")
 
 
 @query()
 def stem_search(spark, sf_dir):
-    papers = envelope.papers(spark, sf_dir)
+    papers = envelope.stored(spark, sf_dir)
     stats = inverted.doc_stats(papers)
     return ranking.search(papers, "papers numbering", index=(inverted.postings(papers), stats, inverted.corpus_stats(stats)))
 
 
+_INFIX = "ehely"
+_INFIX_HIT = " OR ".join(f"contains(lower({f}), '{_INFIX}')" for f in ranking.FALLBACK_FIELDS)
+_INFIX_WORD = " + ".join(f"len(list_filter({_WORDS.format(f)}, lambda x: starts_with(x, '{_INFIX}')))" for f in SETTINGS.bm25_weights)
+_INFIX_BONUS = " + ".join(f"CASE WHEN contains(lower({f}), '{_INFIX}') THEN {100 * w} ELSE 0 END" for f, w in SETTINGS.rerank_weights.items())
+
+
+@query(on_papers(
+    f", able AS (SELECT * FROM papers WHERE is_scholarly = 1), started AS (SELECT count(*) AS n FROM able WHERE {_INFIX_WORD} > 0),"
+    f" kept AS (SELECT able.* FROM able, started WHERE started.n = 0 AND ({_INFIX_HIT}) ORDER BY id LIMIT 300), placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS total FROM kept),"
+    f" scored AS (SELECT *, total - position + {_INFIX_BONUS} AS score FROM placed)"
+    " SELECT id, least(100, floor(score / greatest(max(score) OVER (), 1) * 100))::INTEGER AS relevance FROM scored ORDER BY score DESC, position LIMIT 30"
+))
+def search_with_fallback(spark, sf_dir):
+    """No word begins with the term, so the substring scan answers."""
+    return ranking.search(envelope.stored(spark, sf_dir), _INFIX, fuzzy=False).select("id", "relevance")
+
+
 @query(on_papers(
     f"{_CANDIDATES}, scored AS (SELECT *, total - position + {_BONUS} AS score FROM candidates),"
     " rel AS (SELECT *, least(100, floor(score / greatest(max(score) OVER (), 1) * 100))::INTEGER AS relevance FROM scored ORDER BY score DESC, position LIMIT 30)"
@@ -310,11 +332,36 @@ def match_minus_nonpaper(spark, sf_dir):
     return collect.split_matches(envelope.papers(spark, sf_dir), parse_keywords("the, on text"), "docs/1").select("id", "verdict")
 
 
+_PLACED = (
+    "w AS (SELECT doc_id, {words} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM w),"
+    " s AS (SELECT doc_id, strip_accents(x) AS x, i FROM p)"
+).format(words=_WORDS.format("text"))
+# The words of the corpus that have the stem of "thing", and of "laleeneelle" once folded.
+_THING = ("thing", "things", "thinged", "thinging", "thinge", "thinges")
+_LALE = ("laleeneelle", "laleeneelles", "laleeneell", "laleeneels", "laleeneel")
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({_WORDS.format('text')}, ['with', 'the', 'from'])")
 def phrase_gate_intersection(spark, sf_dir):
     index = inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",))
-    found = [index.where(F.col("term") == t).select("doc_id") for t in ("with", "the", "from")]
-    return found[0].join(found[1], "doc_id", "left_semi").join(found[2], "doc_id", "left_semi").distinct()
+    return inverted.with_phrases(index, [["with"], ["the"], ["from"]])
+
+
+@query(f"WITH {_PLACED} SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.x IN {_in(_LALE)} AND b.x = 'la'")
+def phrase_gate_folded(spark, sf_dir):
+    return inverted.with_phrases(inverted.postings(docs(spark, sf_dir), "doc_id", fields=("text",)), [inverted.phrase_terms("LALEENEELLE, la")])
+
+
+@query(
+    f"WITH {_PLACED} SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.x IN {_in(_THING)} AND b.x IN ('the', 'thes')"
+    " AND a.doc_id IN (SELECT doc_id FROM s WHERE x = 'with')"
+)
+def phrase_gate(spark, sf_dir):
+    return inverted.with_phrases(inverted.postings(docs(spark, sf_dir), "doc_id", fields=("text",)), [inverted.phrase_terms(p) for p in ("Things the", "with")])
 
 
 # copies
@@ -365,6 +412,27 @@ def name_collision_plan(spark, sf_dir):
     return collect.name_plan(docs(spark, sf_dir).select(F.concat(F.lit("d"), i.cast("string"), F.lit("/p"), (i % 50).cast("string"), F.lit(".pdf")).alias("path")))
 
 
+@query(
+    "WITH f AS (SELECT 'd' || doc_id || '/p' || (doc_id % 50) || '.pdf' AS path, 'p' || (doc_id % 50) AS stem FROM documents),"
+    " held AS (SELECT 'p' || (doc_id % 50) AS stem, doc_id % 9 AS n FROM documents WHERE doc_id % 4 = 0 AND doc_id < 100 GROUP BY ALL),"
+    " free AS (SELECT stem, g.n, row_number() OVER (PARTITION BY stem ORDER BY g.n) - 1 AS k FROM (SELECT stem, count(*) AS m FROM f GROUP BY stem) c, LATERAL (SELECT unnest(range(c.m + 10)) AS n) g"
+    " WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.stem = c.stem AND h.n = g.n)), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) - 1 AS k FROM f)"
+    " SELECT path, stem || CASE WHEN free.n = 0 THEN '' ELSE ' (' || free.n || ')' END || '.pdf' AS name FROM n JOIN free USING (stem, k)"
+)
+def name_plan_beside_taken(spark, sf_dir):
+    i, base = F.col("doc_id"), F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string"))
+    rows = docs(spark, sf_dir)
+    held = rows.where("doc_id % 4 = 0 and doc_id < 100").select(F.concat(base, F.when(i % 9 == 0, "").otherwise(F.concat(F.lit(" ("), (i % 9).cast("string"), F.lit(")"))), F.lit(".pdf")).alias("name"))
+    return collect.name_plan(rows.select(F.concat(F.lit("d"), i.cast("string"), F.lit("/"), base, F.lit(".pdf")).alias("path")), taken=held)
+
+
+@query("WITH f AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Docs/' ELSE 'docs/' END || doc_id || '.pdf' AS path FROM documents) SELECT path, row_number() OVER (ORDER BY lower(path), path) - 1 AS place FROM f")
+def path_order(spark, sf_dir):
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "Docs/").otherwise("docs/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    rows = docs(spark, sf_dir).select(path.alias("path"), F.concat(F.lower(path), F.lit("\0"), path).alias("key"))
+    return incremental.ranked(rows, "key").select("path", F.col("_rank").alias("place"))
+
+
 @query(f"WITH {_FILES} SELECT path FROM files WHERE NOT starts_with(path, 'docs/')  OR doc_id % 2 = 0")
 def dest_exclusion(spark, sf_dir):
     files = _files(spark, sf_dir)
@@ -373,16 +441,20 @@ def dest_exclusion(spark, sf_dir):
 
 
 @query(on_papers(
-    f", {_SPLIT}, src AS (SELECT s.path, s.size, sha256(d.text) AS digest FROM split s JOIN documents d ON d.doc_id = s.id WHERE verdict = 'matched'),"
-    " acts AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM src e WHERE e.digest = src.digest AND e.path < src.path) THEN 'skip' ELSE 'copy' END AS action FROM src)"
-    " SELECT (SELECT count(*) FROM papers) AS total_indexed, (SELECT count(*) FROM split WHERE verdict = 'matched') AS matched, (SELECT count(*) FROM split WHERE verdict = 'nonpaper') AS skipped_nonpaper,"
+    f", {_SPLIT}, src AS (SELECT s.path, s.size, sha256(d.text) AS digest FROM split s JOIN documents d ON d.doc_id = s.id WHERE verdict = 'matched'), {_FILES}, dest AS (SELECT size, digest FROM files WHERE doc_id % 5 = 0),"
+    " acts AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM dest d WHERE d.size = src.size AND d.digest = src.digest) OR EXISTS (SELECT 1 FROM src e WHERE e.digest = src.digest AND e.path < src.path) THEN 'skip' ELSE 'copy' END AS action FROM src),"
+    f" tried AS (SELECT id FROM papers WHERE list_has_any({_WORDS.format('strip_accents(fulltext)')}, ['the', 'thes', 'theing']) AND regexp_matches(fulltext, '(?i)(^|[^\\p{{L}}\\p{{N}}])on[^\\p{{L}}\\p{{N}}]+text(s|ed|ing)?($|[^\\p{{L}}\\p{{N}}])'))"
+    " SELECT (SELECT count(*) FROM papers) AS total_indexed, (SELECT count(*) FROM tried) AS candidates, (SELECT count(*) FROM split WHERE verdict = 'matched') AS matched, (SELECT count(*) FROM split WHERE verdict = 'nonpaper') AS skipped_nonpaper,"
     " (SELECT count(*) FROM acts WHERE action = 'copy') AS copied, (SELECT count(*) FROM acts WHERE action = 'skip') AS skipped_existing"
 ))
 def aggregate_stats(spark, sf_dir):
-    papers, files = envelope.papers(spark, sf_dir), _files(spark, sf_dir)
-    split = collect.split_matches(papers, parse_keywords("the, on text"), "docs/1")
-    plan = collect.copy_plan(files.drop("doc_id").join(split.where("verdict = 'matched'").select("path"), "path", "left_semi"), files.drop("doc_id").limit(0))
-    return collect.aggregate_counts(split, plan, papers)
+    papers, files = envelope.stored(spark, sf_dir), _files(spark, sf_dir)
+    keywords = parse_keywords("the, on text")
+    tried = inverted.with_phrases(inverted.postings(papers), [inverted.phrase_terms(k) for k in keywords]).withColumnRenamed("doc_id", "id")
+    split = collect.split_matches(papers.join(tried, "id", "left_semi"), keywords, "docs/1")
+    matched = split.where("verdict = 'matched'").select("path")
+    plan = collect.copy_plan(files.drop("doc_id").join(matched, "path", "left_semi"), files.where("doc_id % 5 = 0").drop("doc_id"))
+    return collect.aggregate_counts(split, plan, papers, tried)
 
 
 # the incremental catalogue
@@ -420,10 +492,44 @@ def upsert_merge(spark, sf_dir):
     return incremental.upsert(*_manifests(spark, sf_dir))
 
 
-@query(f"WITH {_MANIFESTS} SELECT (SELECT count(*) FROM new) AS total, count(*) AS indexed, (SELECT count(*) FROM new) - count(*) AS skipped, 0::BIGINT AS errors FROM todo")
+@query(
+    "WITH l AS (SELECT 'l/' || l_orderkey || '/' || l_linenumber AS path, l_orderkey * 10 + l_linenumber AS id, repeat(l_orderkey || '-' || min(l_partkey) || '-' || min(l_suppkey) || ' ', 60) AS text, l_orderkey AS k FROM lineitem GROUP BY l_orderkey, l_linenumber),"
+    " old AS (SELECT id, path, text FROM l WHERE k % 3 = 0), fresh AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY path) AS id, path, text FROM l WHERE k % 3 <> 0 AND k % 5 <> 0),"
+    " every AS (SELECT * FROM old UNION ALL SELECT * FROM fresh) SELECT id::BIGINT AS id, path, md5(text) AS digest FROM every"
+)
+def upsert_wide(spark, sf_dir):
+    """Wide rows, most of them new: ids are numbered on paths."""
+    path = F.concat(F.lit("l/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    words = F.concat(F.concat_ws("-", "l_orderkey", "part", "supp"), F.lit(" "))
+    lines = docs(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    rows = lines.select(path.alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.repeat(words, F.lit(60)).alias("text"), F.col("l_orderkey").alias("k"))
+    made = incremental.upsert(rows.where("k % 3 = 0").select("id", "path", "text"), rows.where("k % 5 <> 0").select("path", "text"))
+    return made.select("id", "path", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_CHANGED = (
+    "changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 100) || ' anew' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),"
+    f" u AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM changed)"
+)
+
+
+@query(f"WITH {_CHANGED} SELECT term, doc_id, 'text' AS field, count(*) AS tf FROM u GROUP BY term, doc_id")
+def postings_incremental(spark, sf_dir):
+    """Postings of what was there, of changed documents and of new ones, less what was replaced or is gone."""
+    rows = docs(spark, sf_dir).select("doc_id", "text")
+    before = rows.where("doc_id % 10 <> 0")
+    later = rows.where("doc_id % 11 <> 0 and (doc_id % 7 = 0 or doc_id % 10 = 0)")
+    later = later.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.left("text", F.lit(100)), F.lit(" anew"))).otherwise(F.col("text")))
+    void = before.where("doc_id % 7 = 0 or doc_id % 11 = 0").select(F.col("doc_id").alias("id"))
+    parts = [inverted.postings(part, "doc_id", stem=False, fields=("text",)) for part in (before, later)]
+    return incremental.live(parts, [void.limit(0), void], "doc_id").select("term", "doc_id", "field", "tf")
+
+
+@query(f"WITH {_MANIFESTS} SELECT (SELECT count(*) FROM new) AS total, count(*) FILTER (path NOT LIKE '%7.pdf') AS indexed, (SELECT count(*) FROM new) - count(*) AS skipped, count(*) FILTER (path LIKE '%7.pdf') AS errors FROM todo")
 def index_stats(spark, sf_dir):
     old, new = _manifests(spark, sf_dir)
-    todo = incremental.needs_indexing(new, old).withColumns({"error": F.lit(None).cast("string"), "sample": F.lit(None).cast("string")})
+    error = F.when(F.endswith("path", F.lit("7.pdf")), F.col("path"))
+    todo = incremental.needs_indexing(new, old).withColumns({"error": error, "sample": error})
     return incremental.index_stats(new, todo).select("total", "indexed", "skipped", "errors")
 
 

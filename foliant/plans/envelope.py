@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import Settings
 from foliant.functions.extract import AFTER_ABSTRACT, AFTER_KEYWORDS, MARKERS, REFERENCE_WORDS, SECTION_WORDS, fields
+from foliant.shared import settled
 
 _W = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 _WI = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -34,13 +35,14 @@ def pages(spark: SparkSession, sf_dir: str, with_keywords: bool = False) -> Data
 
 
 def papers(spark: SparkSession, sf_dir: str, with_keywords: bool = False, settings: Settings = Settings()) -> DataFrame:
-    """Records of the enveloped documents; id is doc_id.
-
-    Kept in memory and on disk, as searches read a library's stored records: a filter over records that are still to be
-    extracted would have every field extracted twice, once to decide and once to return.
-    """
+    """Records of the enveloped documents, extracted where they are read; id is doc_id."""
     out = fields(pages(spark, sf_dir, with_keywords), settings)
-    return out.withColumnRenamed("doc_id", "id").withColumn("filename", F.element_at(F.split("path", "/"), -1)).drop("pages", "mtime").persist()
+    return out.withColumnRenamed("doc_id", "id").withColumn("filename", F.element_at(F.split("path", "/"), -1)).drop("pages", "mtime")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records written once, for plans that read them more than once, as searches read a library's records."""
+    return settled(papers(spark, sf_dir), "papers")
 
 
 def clean_sql(c: str) -> str:

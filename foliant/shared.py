@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def send_code(spark: SparkSession) -> None:
+    """Send this library to the executors, once a session: their Python workers import it."""
+    if getattr(spark.sparkContext, "_foliant_sent", None) is None:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = os.path.join(tempfile.mkdtemp(), "foliant_code.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(os.path.join(root, "foliant")):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, root))
+        spark.sparkContext.addPyFile(archive)
+        spark.sparkContext._foliant_sent = archive
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder (spark.checkpoint.dir, or a local one where that is unset, as in tests).
 

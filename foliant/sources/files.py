@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.shared import send_code
+
 PDF_GLOB = "*.[pP][dD][fF]"
 #: Files that a task of contents opens, about.
 FILES_A_TASK = 64
@@ -37,6 +39,7 @@ def by_path(files: DataFrame) -> DataFrame:
 
 def _dealt(files: DataFrame, workers: int = 0) -> DataFrame:
     """Files over tasks: ``workers`` if given, else by their number."""
+    send_code(files.sparkSession)
     return files.repartition(workers or max(1, files.count() // FILES_A_TASK), "path")
 
 

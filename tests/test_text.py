@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.config import Settings
 from foliant.functions import extract, text
 from foliant.functions.fuzzy import fuzzy_score, may_pass
 from foliant.functions.querytext import index_prefixes, keyword_pattern, parse_keywords, parse_year_range, split_terms
@@ -19,6 +20,12 @@ def test_year_ranges(raw, found):
     assert parse_year_range(raw) == found
 
 
+def test_settings_from_the_environment(caplog):
+    got = Settings.from_environment({"FOLIANT_FULLTEXT_CHARS": "0", "FOLIANT_WORKERS": "many", "FOLIANT_REQUIRE_SCHOLARLY": "No", "FOLIANT_INDEX_NAME": "x", "FOLIANT_LOG_LEVEL": "", "FOLIANT_RERANK_WEIGHTS": "1"})
+    assert (got.fulltext_chars, got.workers, got.require_scholarly, got.index_name, got.log_level) == (0, 0, False, "x", "WARNING") and got.rerank_weights == Settings().rerank_weights
+    assert "FOLIANT_WORKERS" in caplog.text and Settings.from_environment({"FOLIANT_REQUIRE_SCHOLARLY": "1"}).require_scholarly
+
+
 def test_query_texts():
     assert split_terms("Deep, Learning;x") == ["deep", "learning"]
     assert split_terms("ion ion") == ["ion", "ion"]
