@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.shared import forget, path_of, settled, shared_dir, small_or_shuffled
+from foliant.shared import forget, path_of, send_code, settled, shared_dir, small_or_shuffled
 
 #: Rows of text to an Arrow batch; bounds a Python worker's memory when rows are long.
 TEXT_BATCH = 400
 
 
 def prepare(spark: SparkSession, batch: int = TEXT_BATCH) -> None:
-    """Send this library to the executors, once a session, and set the rows of an Arrow batch: few where rows are texts."""
-    if getattr(spark.sparkContext, "_foliant_sent", None) is None:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        archive = os.path.join(tempfile.mkdtemp(), "foliant_code.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for folder, _, names in os.walk(os.path.join(root, "foliant")):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        out.write(full, os.path.relpath(full, root))
-        spark.sparkContext.addPyFile(archive)
-        spark.sparkContext._foliant_sent = archive
+    """Send this library to the executors and set the rows of an Arrow batch: few where rows are texts."""
+    send_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
 
 
