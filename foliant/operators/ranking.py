@@ -71,11 +71,18 @@ def bm25_indexed(postings: DataFrame, doc_stats: DataFrame, corpus: DataFrame, s
 
 
 def candidates(scores: DataFrame, papers: DataFrame, settings: Settings, top_n: int = 30, years=None, key: str = "id") -> DataFrame:
-    """The best candidates by BM25 with position (0 first) and total; ties go to the smaller id. Filters come first."""
+    """The best candidates by BM25 with position (0 first) and total; ties go to the smaller id. Filters come first.
+
+    The best are found on keys and filtered columns alone; only then are the records of those few read.
+    """
     kept = papers.where(year_filter(parse_year_range(years)))
     if settings.require_scholarly:
         kept = kept.where("is_scholarly = 1")
-    rows = kept.join(scores, key).orderBy(F.round("bm25", 6).desc(), key).limit(max(settings.candidate_limit, 10 * top_n))
+    limit = max(settings.candidate_limit, 10 * top_n)
+    best = kept.select(key).join(scores, key).orderBy(F.round("bm25", 6).desc(), key).limit(limit)
+    best = settled(best, "candidates")  # ``limit`` rows, asked for their keys and joined
+    keys = [r[key] for r in best.select(key).collect()]
+    rows = papers.where(F.col(key).isin(keys)).join(F.broadcast(best), key)  # the keys reach the scan
     return positioned(rows, [F.round("bm25", 6).desc(), F.col(key)])
 
 
@@ -154,7 +161,6 @@ def search(papers: DataFrame, query: str, years=None, top_n: int = 30, settings:
             stems = list(dict.fromkeys(porter(fold_text(p.lower())) for p in prefixes))
             scores = bm25_indexed(*index, stems, settings.bm25_weights).withColumnRenamed("doc_id", "id")
         rows = candidates(scores, papers, settings, top_n, years)
-        rows = settled(rows, "candidates")  # a few hundred rows, read below and asked here whether there are any
         if rows.isEmpty():
             rows = None
     if rows is None:

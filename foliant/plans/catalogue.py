@@ -13,12 +13,15 @@ from foliant.functions.querytext import parse_keywords, parse_year_range, split_
 from foliant.operators import collect, incremental, inverted, ranking
 from foliant.plans import envelope
 from foliant.plans.envelope import clean_sql, lines_sql, papers_sql, title_sql
+from foliant.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 TERMS, SEARCH = ["with", "rewh", "tion"], "with rewh tion"
 SETTINGS = Settings()
+#: Tables whose rows are texts.
+TEXTS = ("documents", "pages", "conversations")
 
 
 def query(sql: str | None = None):
@@ -34,7 +37,8 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf_dir, name="documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in TEXTS else scan
 
 
 def on_papers(select: str, with_keywords: bool = False) -> str:
@@ -118,7 +122,7 @@ def count_indexed(spark, sf_dir):
 
 @query(on_papers("SELECT id, title FROM papers WHERE is_scholarly = 1"))
 def scholarly_filter(spark, sf_dir):
-    return envelope.papers(spark, sf_dir).where("is_scholarly = 1").select("id", "title")
+    return envelope.stored(spark, sf_dir).where("is_scholarly = 1").select("id", "title")
 
 
 def _years(name: str, raw: str) -> None:
@@ -236,7 +240,7 @@ _FALLBACK = "(" + " OR ".join(f"contains(lower({f}), '{t}')" for t in ("hehely",
 
 @query(on_papers(f"SELECT id, title FROM papers WHERE is_scholarly = 1 AND {_FALLBACK} ORDER BY id LIMIT 300"))
 def substring_fallback(spark, sf_dir):
-    return ranking.substring_hits(envelope.papers(spark, sf_dir), ["hehely", "ononst"], SETTINGS).select("id", "title")
+    return ranking.substring_hits(envelope.stored(spark, sf_dir), ["hehely", "ononst"], SETTINGS).select("id", "title")
 
 
 _BONUS = " + ".join(f"CASE WHEN contains(lower({f}), '{t}') THEN {100 * w} ELSE 0 END" for t in split_terms(SEARCH) for f, w in SETTINGS.rerank_weights.items())
@@ -329,7 +333,7 @@ _SPLIT = (
 
 @query(on_papers(f", {_SPLIT} SELECT id, verdict FROM split"))
 def match_minus_nonpaper(spark, sf_dir):
-    return collect.split_matches(envelope.papers(spark, sf_dir), parse_keywords("the, on text"), "docs/1").select("id", "verdict")
+    return collect.split_matches(envelope.stored(spark, sf_dir), parse_keywords("the, on text"), "docs/1").select("id", "verdict")
 
 
 _PLACED = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import Settings
 from foliant.functions.extract import AFTER_ABSTRACT, AFTER_KEYWORDS, MARKERS, REFERENCE_WORDS, SECTION_WORDS, fields
-from foliant.shared import settled
+from foliant.shared import settled, spread
 
 _W = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 _WI = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -29,7 +29,7 @@ def pages(spark: SparkSession, sf_dir: str, with_keywords: bool = False) -> Data
         on(2, F.concat(F.lit("Abstract\n"), F.left(text, F.lit(200)), F.lit("\nIntroduction"))), F.concat(F.lit("Published "), (i % 90 + 1950).cast("string")),
         text, on(4, F.lit("References\n[1] x [2] y [3] z")),
     ]
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     path = F.concat(F.lit("docs/"), word, F.lit(".pdf"))
     return rows.select("doc_id", path.alias("path"), (i + 0.5).cast("double").alias("mtime"), F.octet_length("text").cast("long").alias("size"), F.array(F.concat_ws("\n", *parts)).alias("pages"))
 

@@ -79,7 +79,9 @@ class Library:
     def _pages(pages: DataFrame, todo: DataFrame) -> DataFrame:
         todo = small_or_shuffled(todo.select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), "id"))
         same = (F.col("path") == F.col("_path")) & F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("size").eqNullSafe(F.col("_size"))
-        return pages.join(todo, same).select("id", "path", "mtime", "size", "pages").dropDuplicates(["path"])
+        rows = pages.join(todo, same).select("id", "path", "mtime", "size", "pages")
+        repeated = not pages.groupBy("path").count().where("count > 1").isEmpty()  # paths alone; pages move only if some repeat
+        return rows.dropDuplicates(["path"]) if repeated else rows
 
     def update_from_files(self, source: str, force: bool = False, **watch) -> IndexStats:
         return self._update(list_files(self.spark, source), lambda todo: read_pdfs(todo, self.settings.workers), force, **watch)

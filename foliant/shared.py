@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes that the texts among them may have.
+BROADCAST_BYTES = 32 << 20
 
 
 def send_code(spark: SparkSession) -> None:
@@ -29,6 +32,15 @@ def send_code(spark: SparkSession) -> None:
         spark.sparkContext._foliant_sent = archive
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files dealt over all cores where it has fewer parts than there are cores, as small tables do; else as it is.
+
+    Costly work on rows follows. Large inputs have many parts and are never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder (spark.checkpoint.dir, or a local one where that is unset, as in tests).
 
@@ -75,6 +87,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (the join then shuffles; AQE splits skew)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is small, else as it is (the join then shuffles; AQE splits skew).
+
+    Small is at most ``limit`` rows whose texts have at most ``most_bytes`` bytes together.
+    """
+    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    size = F.coalesce(F.sum(reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in texts], F.lit(0))), F.lit(0))
+    about = df.limit(limit + 1).agg(F.count("*").alias("n"), size.alias("bytes")).first()
+    return F.broadcast(df) if about["n"] <= limit and about["bytes"] <= most_bytes else df
