@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.shared import forget, path_of, send_code, settled, shared_dir, small_or_shuffled
+from foliant.shared import forget, path_of, send_code, settled, shared_dir, small_or_shuffled, spread
 
 #: Rows of text to an Arrow batch; bounds a Python worker's memory when rows are long.
 TEXT_BATCH = 400
@@ -35,7 +35,9 @@ def bucket_of(key: Column, mod: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's; texts are dealt over all cores where the file has few parts."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -106,30 +108,42 @@ def _starred(batches, schema):
         yield flush()
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", many_links: int = 1_000_000) -> DataFrame:
     """Connected components of links (u, v: long, not null): rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star rounds on distinct links; each round is two aggregations and one join on the
     node, and is written to the shared folder. A task first joins the links it holds, so chains shrink before any
-    shuffle. Rounds go on until nothing changes. Empty input: no rows.
+    shuffle. Where links are many, nodes of very many links are met by broadcast (``met``), so no task gets a star whole.
+    Rounds go on until nothing changes. Empty input: no rows.
     """
     spark = links.sparkSession
     prepare(spark)
     local = links.select("u", "v").mapInArrow(lambda it: _starred(it, None), "u long, v long")
     now = settled(local.where("u <> v").distinct(), name)
-    total = None
+    total, many = None, now.count() > many_links
+
+    def lows(rows):
+        """(u, m, n): the least neighbour and the number of links of each node of ``rows``."""
+        found = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return settled(found, f"{name}-lows") if many else found
+
+    def joined(rows, low):
+        return met(rows, low, ["u"], "n") if many else rows.join(low, "u")
+
     while True:
         # large star: each neighbour larger than u points to the least neighbour of u
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = lows(both)
+        large = joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = settled(large.where("u <> v").distinct(), name)
         # small star: links point down; u and its smaller neighbours point to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = lows(down)
+        small = joined(down, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = settled(small, name, drop=[path_of(now), path_of(large)])
+        after = settled(small, name, drop=[path_of(now), path_of(large), *([path_of(least)] if many else [])])
+        if many:
+            forget(spark, path_of(low))
         # links only ever move to smaller ends: equal counts and sums mean that nothing moved
         print_ = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         mark = (print_["n"], print_["s"])

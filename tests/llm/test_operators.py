@@ -53,13 +53,14 @@ def test_query_equals_sql(spark, small, name):
 # components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, 1_000_000])
+def test_components(spark, many):
     rng = random.Random(1)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
-    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u long, v long").repartition(5)).collect()}
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u long, v long").repartition(5), many_links=many).collect()}
     want = roots(2100, pairs)
     assert all(found.get(i, i) == want[i] for i in range(2100))
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), many_links=many).count() == 0
     u, v = stars(np.array([5, 4, 9]), np.array([4, 1, 8]))
     assert dict(zip(u.tolist(), v.tolist())) == {5: 1, 4: 1, 9: 8}
 
