@@ -14,6 +14,7 @@ from foliant.operators import collect, incremental, inverted, ranking
 from foliant.plans import envelope
 from foliant.plans.envelope import clean_sql, lines_sql, papers_sql, title_sql
 from foliant.shared import spread
+from foliant.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -537,6 +538,13 @@ def index_stats(spark, sf_dir):
     return incremental.index_stats(new, todo).select("total", "indexed", "skipped", "errors")
 
 
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def intake_by_window(spark, sf_dir):
+    """The counts that the stream of intake gives, here over a whole table."""
+    found = ingest.counts_by_window(docs(spark, sf_dir, "events").where("ts is not null"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_relevance(spark, sf_dir)
 

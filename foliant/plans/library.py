@@ -49,16 +49,25 @@ class Library:
         settings = settings or Settings.from_environment()
         return cls(spark, f"{source.rstrip('/')}/{settings.index_name}", settings)
 
+    def state(self) -> list[dict] | None:
+        """The segments that count; none if there are none, or they were written by another format or lack a column of now."""
+        segments = self.store.current()
+        for s in segments or []:
+            if set(COLUMNS) - set(self.spark.read.parquet(self.store.where(s, "papers")).columns):
+                LOG.warning("%s lacks columns and is built anew", self.store.folder)
+                return None
+        return segments
+
     def _records(self, segments: list[dict] | None = None) -> DataFrame:
         found = self.store.read("papers", "id", segments)
         return self.spark.createDataFrame([], EMPTY) if found is None else found.where("error is null").select(*COLUMNS)
 
     def papers(self) -> DataFrame:
-        return self._records()
+        return self._records(self.state() or [])
 
     def index(self) -> tuple[DataFrame, DataFrame, DataFrame] | None:
         """(postings, doc_stats, corpus) of the live documents."""
-        segments = self.store.current()
+        segments = self.state()
         if not segments:
             return None
         stats = self.store.read("doc_stats", "doc_id", segments)
@@ -87,7 +96,7 @@ class Library:
         return self._update(list_files(self.spark, source), lambda todo: read_pdfs(todo, self.settings.workers), force, **watch)
 
     def _update(self, files: DataFrame, read, force: bool, keep: bool = False, should_cancel=None, progress=None) -> IndexStats:
-        state = self.store.current()
+        state = self.state()
         base = [] if force or state is None else state
         known = self._records(base).select(*MANIFEST)
         files = files.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("f")).select("path", "f.mtime", "f.size")

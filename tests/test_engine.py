@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import shutil
 import sqlite3
 
 import duckdb
@@ -188,6 +189,19 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert {d for d in os.listdir(tmp_path / "lib") if d.startswith("segment-")} >= set(files)
 
 
+def test_segments_of_another_schema_are_built_anew(spark, tmp_path):
+    library = Library(spark, f"file://{tmp_path}/lib", Settings())
+    rows = pages(spark, plain_papers(range(3), 0))
+    library.update(rows)
+    (segment,) = library.store.current()
+    where = library.store.where(segment, "papers")
+    spark.read.parquet(where).drop("doi").coalesce(1).write.parquet(f"{tmp_path}/less")
+    shutil.rmtree(where.removeprefix("file://"))
+    shutil.move(f"{tmp_path}/less", where.removeprefix("file://"))
+    assert library.papers().count() == 0 and library.index() is None
+    assert library.update(rows).indexed == 3 and library.papers().count() == 3
+
+
 def test_a_crash_leaves_the_state_before_or_after(spark, tmp_path, monkeypatch):
     library = Library(spark, f"file://{tmp_path}/lib", Settings())
     library.update(pages(spark, plain_papers(range(3), 0)))
@@ -363,6 +377,18 @@ def test_stream(spark, tmp_path):
         pages(spark, [("/d/b.pdf", 1.0, 10, [PAPER])]).write.mode("overwrite").parquet(f"{tmp_path}/in/2")
 
 
+def test_windows_of_a_stream(spark, small, tmp_path):
+    """A stream of events, file by file, counts as one scan does; windows that are still open come with the last batch."""
+    from foliant.streaming.ingest import counts_by_window
+
+    events = spark.read.parquet(f"{small}/events.parquet").where("ts is not null")
+    events.repartition(3).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    counts_by_window(stream).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start().awaitTermination()
+    show = lambda df: sorted((str(r["window"]["start"]), r["n"]) for r in df.collect())
+    assert show(spark.table("windows")) == show(counts_by_window(events)) and spark.table("windows").count() > 1
+
+
 def test_cli(tmp_path, capsys):
     from foliant.cli import main
 
