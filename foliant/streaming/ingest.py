@@ -30,4 +30,4 @@ def start(stream: DataFrame, library: Library, checkpoint: str):
 
 def counts_by_window(events: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Intake counts by time window, late rows up to ``late`` included."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("n"))
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("n"))
