@@ -23,6 +23,8 @@ from foliant.llm.common import boxed, components, forget, met, path_of, prepare,
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
 HOT_BUCKET = 4096
+#: Rows that a task gathers before it compares them.
+HELD = 100_000
 BLOCK = 1024
 
 
@@ -145,9 +147,9 @@ def _verified(batches, radius: int):
         if not batch.num_rows:
             continue
         bucket, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        # compare what is held once it is much, at the end of a bucket: each row is gathered once
-        if n >= 100_000 and bucket[-1] != held[0][0][0]:
-            cut = int(np.searchsorted(bucket, bucket[-1]))
+        # compare what is held once it is much, but only whole buckets: up to where the last one of this batch begins
+        if n >= HELD and (held[-1][0][-1] != bucket[0] or bucket[0] != bucket[-1]):
+            cut = 0 if held[-1][0][-1] != bucket[0] else int(np.searchsorted(bucket, bucket[-1]))
             held.append((bucket[:cut], fp[:cut]))
             if (out := links(*(np.concatenate(z) for z in zip(*held)))) is not None:
                 yield out

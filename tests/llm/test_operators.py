@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -407,6 +408,20 @@ def test_masks_cover():
             assert any(not m & flip for m in masks)
 
 
+@pytest.mark.parametrize("batch, held", [(1, 1), (7, 20), (40, 100), (400, 100_000)])
+def test_buckets_across_batches(monkeypatch, batch, held):
+    """Links join what all pairs within each bucket join, however rows fall into batches."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    rng = np.random.default_rng(batch)
+    bucket = np.sort(rng.choice(60, 1500, p=np.r_[0.3, np.full(59, 0.7 / 59)]))
+    fp = rng.choice(rng.integers(0, 1 << 62, 40), 1500) ^ (1 << rng.integers(0, 62, 1500)) ^ (1 << rng.integers(0, 62, 1500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(bucket[i : i + batch]), pa.array(fp[i : i + batch])], names=["bucket", "fp"]) for i in range(0, 1500, batch)]
+    found = [(u, v) for b in simhash._verified(iter(batches), 3) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    place = {f: i for i, f in enumerate(dict.fromkeys(fp.tolist()))}
+    near = [(place[fp[i]], place[fp[j]]) for i in range(1500) for j in range(i + 1, 1500) if bucket[i] == bucket[j] and int(fp[i] ^ fp[j]).bit_count() <= 3]
+    assert roots(len(place), [(place[u], place[v]) for u, v in found]) == roots(len(place), near) and near
+
+
 @pytest.mark.parametrize("hot", [4096, 8])
 def test_simhash_groups(spark, small, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
