@@ -113,7 +113,7 @@ def fuzzy_bonus(terms: list[str], weights: dict[str, float], rapid: bool | None
     ``rapid``: score by rapidfuzz; by default where it is installed.
     """
     rapid = rapid_installed() if rapid is None else rapid
-    send_code(SparkSession.getActiveSession())
+    send_code(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
 
     @F.pandas_udf("double")
     def bonus(title: pd.Series, abstract: pd.Series, keywords: pd.Series) -> pd.Series:

@@ -300,6 +300,8 @@ def test_collect_files(spark, tmp_path, monkeypatch):
     assert sorted(os.listdir(dest)) == ["a (1).pdf", "a (2).pdf", "a.pdf", "old.pdf"] and {(dest / n).read_bytes() for n in ("a (1).pdf", "a (2).pdf")} == {b"one", b"two"}
     again = library.collect(str(source), str(dest), "network, study")
     assert (again.copied, again.skipped_existing, again.errors) == (0, 3, 1)  # what could not be read is tried again
+    fresh = library.collect(str(source), str(tmp_path / "fresh"), "network, study", update=False)
+    assert (fresh.total_indexed, fresh.copied, fresh.skipped_existing, fresh.errors) == (5, 3, 0, 0) and sorted(os.listdir(tmp_path / "fresh")) == ["a (1).pdf", "a.pdf", "c.pdf"]
     assert library.collect(str(source), str(tmp_path / "none"), "network", should_cancel=lambda: True).cancelled and not (tmp_path / "none").exists()
 
 
