@@ -55,7 +55,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = SparkSession.builder.appName("foliant").getOrCreate()
     library = Library.beside(spark, os.path.abspath(args.index), settings)
     if args.collect:
-        done = library.collect(args.index, args.dest, args.keywords, args.match_case)
+        try:
+            done = library.collect(args.index, args.dest, args.keywords, args.match_case)
+        except ValueError as error:
+            print(error, file=sys.stderr)
+            return 2
         print(f"matched {done.matched}, copied {done.copied}, already there {done.skipped_existing}, no papers {done.skipped_nonpaper}, errors {done.errors}")
         return int(done.errors > 0)
     stats = library.update_from_files(os.path.abspath(args.index), args.force, progress=shown if sys.stderr.isatty() else None)

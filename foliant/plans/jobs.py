@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import threading
 import uuid
 
 from pyspark import InheritableThread
@@ -63,7 +63,21 @@ def _tasks(context, tag: str) -> tuple[int, int]:
     return done, total
 
 
-def waited(seconds: float):
-    """A ``should_cancel`` that asks for an end after some seconds."""
-    end = time.monotonic() + seconds
-    return lambda: time.monotonic() > end
+class Latest:
+    """Requests of which only the newest counts: a newer one cancels the one that runs and begins when that has ended.
+
+    ``submit(work)`` runs ``work(should_cancel)`` in the caller's thread; requests that a newer one overtook while they waited
+    raise ``Cancelled`` without having begun.
+    """
+
+    def __init__(self):
+        self.newest, self._count, self._turn = 0, threading.Lock(), threading.Lock()
+
+    def submit(self, work):
+        with self._count:
+            self.newest += 1
+            mine = self.newest
+        with self._turn:
+            if mine != self.newest:
+                raise Cancelled
+            return work(lambda: mine != self.newest)

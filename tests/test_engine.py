@@ -314,6 +314,45 @@ def test_errors_progress_and_cancel(spark, tmp_path):
     assert stats.indexed == 40 and seen and all(a <= b for a, b in seen)
 
 
+def test_a_newer_request_ends_the_one_that_runs():
+    import threading
+    import time
+
+    from foliant.plans.jobs import Cancelled, Latest
+
+    latest, log, begun = Latest(), [], threading.Event()
+
+    def work(name):
+        def run(should_cancel):
+            log.append(f"{name} begins")
+            begun.set()
+            while name != "c":
+                if should_cancel():
+                    log.append(f"{name} ends")
+                    raise Cancelled
+                time.sleep(0.01)
+            return name
+
+        return run
+
+    def submit(name):
+        try:
+            log.append(latest.submit(work(name)))
+        except Cancelled:
+            pass
+
+    first = threading.Thread(target=submit, args="a")
+    first.start()
+    begun.wait()
+    others = [threading.Thread(target=submit, args=n) for n in "bc"]
+    for t in others:
+        t.start()
+        time.sleep(0.2)
+    for t in (first, *others):
+        t.join(10)
+    assert log[:2] == ["a begins", "a ends"] and log[-2:] == ["c begins", "c"] and log.count("b begins") <= 1
+
+
 def test_pdf_libraries_in_turn():
     from foliant.sources.files import pages_of_pdf
 
