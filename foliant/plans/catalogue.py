@@ -11,7 +11,7 @@ from foliant.config import Settings
 from foliant.functions import extract, text
 from foliant.functions.querytext import parse_keywords, parse_year_range, split_terms
 from foliant.operators import collect, incremental, inverted, ranking
-from foliant.plans import envelope
+from foliant.plans import envelope, stem_sql
 from foliant.plans.envelope import clean_sql, lines_sql, papers_sql, title_sql
 from foliant.shared import spread
 from foliant.streaming import ingest
@@ -170,9 +170,38 @@ def postings(spark, sf_dir):
     return inverted.postings(docs(spark, sf_dir), "doc_id", stem=False, fields=("text",)).select("term", "doc_id", "field", "tf")
 
 
-@query()
+_FOLDED = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    f"WITH u AS (SELECT doc_id, unnest({_FOLDED.format('text')}) AS word, unnest(range(len({_FOLDED.format('text')}))) AS place FROM documents), kinds AS (SELECT DISTINCT word FROM u), {stem_sql.stems('kinds')}"
+    " SELECT term, doc_id, 'text' AS field, count(*) AS tf, min(place)::INTEGER AS first_at, sum(place)::BIGINT AS sum_at FROM u JOIN stems USING (word) GROUP BY term, doc_id"
+)
 def postings_stemmed(spark, sf_dir):
-    return inverted.postings(docs(spark, sf_dir), "doc_id", stem=True, fields=("text",))
+    """Stemmed, folded postings; positions by their first and their sum."""
+    rows = inverted.postings(docs(spark, sf_dir), "doc_id", stem=True, fields=("text",))
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
+    return rows.select("term", "doc_id", "field", "tf", F.get("positions", F.lit(0)).alias("first_at"), total.alias("sum_at"))
+
+
+_WEIGHT = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}" for f, w in SETTINGS.bm25_weights.items()) + " END"
+_EVERY_FIELD = " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest({_FOLDED.format(f)}) AS word FROM papers" for f in SETTINGS.bm25_weights)
+
+
+@query(on_papers(
+    f", zu AS ({_EVERY_FIELD}), kinds AS (SELECT DISTINCT word FROM zu), {stem_sql.stems('kinds')},"
+    f" zf AS (SELECT id, sum(CASE WHEN starts_with(term, 'paper') THEN {_WEIGHT} ELSE 0 END)::DOUBLE AS f0, sum(CASE WHEN starts_with(term, 'number') THEN {_WEIGHT} ELSE 0 END)::DOUBLE AS f1, count(*)::DOUBLE AS d FROM zu JOIN stems USING (word) GROUP BY id),"
+    " za AS (SELECT (SELECT count(*) FROM papers) AS n, (SELECT sum(d) FROM zf) / (SELECT count(*) FROM papers) AS m, count(*) FILTER (f0 > 0) AS n0, count(*) FILTER (f1 > 0) AS n1 FROM zf),"
+    " zs AS (SELECT id, greatest(ln((n - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * d / m)) + greatest(ln((n - n1 + 0.5) / (n1 + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * d / m)) AS bm25 FROM zf, za WHERE f0 > 0 OR f1 > 0)"
+    " SELECT id, round(bm25 * 1e6, 3) AS millionths FROM zs"
+))
+def bm25_stemmed_fields(spark, sf_dir):
+    """By the index: stems of all fields, weighted. Every paper has both words, so scores are of the order of the least idf."""
+    papers = envelope.stored(spark, sf_dir)
+    stats = inverted.doc_stats(papers)
+    stems = [inverted.phrase_terms(w)[0] for w in ("papers", "numbering")]
+    made = ranking.bm25_indexed(inverted.postings(papers), stats, inverted.corpus_stats(stats), stems, SETTINGS.bm25_weights)
+    return made.select(F.col("doc_id").alias("id"), F.round(F.col("bm25") * 1e6, 3).alias("millionths"))
 
 
 def bm25_sql(source: str, key: str, weights: dict[str, float], prefixes: list[str]) -> str:
