@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import simhash_sql
 from foliant.llm.common import bucket_of, table
 
 OP1 = """
@@ -175,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_pairs": OP1, "op7_warc": OP7, "op8_mix_sources": OP8, "op9_embedding_near_dups": OP9, "op10_topk_search": OP10}
+    return {"op1_preference_pairs": OP1, "op6_simhash_components": simhash_sql.oracle(), "op7_warc": OP7, "op8_mix_sources": OP8, "op9_embedding_near_dups": OP9, "op10_topk_search": OP10}

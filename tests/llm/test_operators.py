@@ -398,6 +398,17 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_xxh64_in_sql():
+    """The hashes of the SQL against the library's, for texts of any length."""
+    from foliant.llm import simhash_sql
+
+    rng, db = random.Random(1), duckdb.connect()
+    words = list({"".join(rng.choice("abcé 😀") for _ in range(n)) for n in range(0, 90) for _ in range(2)} | {"x" * 5000})
+    db.register("kinds", pa.table({"shingle": words}))
+    found = dict(db.execute(f"WITH RECURSIVE {simhash_sql._hashed()} SELECT shingle, h FROM hashed").fetchall())
+    assert found == {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in words}
+
+
 def test_masks_cover():
     for level in range(4):
         masks = simhash.masks(level)
