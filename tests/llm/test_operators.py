@@ -43,7 +43,7 @@ def duck(small):
 
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_query_equals_sql(spark, small, name):
-    made = {f.__name__: f for f in registry.QUERIES}[name](spark, small)
+    made = registry.queries()[name](spark, small)
     result = duck(small).execute(registry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(made.columns)
