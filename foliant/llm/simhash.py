@@ -17,7 +17,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.llm.common import boxed, components, forget, met, path_of, prepare, settled, stars, unboxed
 

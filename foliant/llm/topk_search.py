@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import forget, path_of, prepare, settled, small_or_shuffled
+from foliant.llm.common import path_of, prepare, settled, small_or_shuffled
 from foliant.llm.embedding_dedup import matrix
 
 SCALE, TOP = 64, 20
