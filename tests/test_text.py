@@ -107,3 +107,12 @@ def test_fuzzy():
     assert fuzzy_score("abc", "abc def") == pytest.approx(60.0)
     assert fuzzy_score("x", "") == 0
     assert not may_pass(3, 7, 60.0) and may_pass(7, 8, 60.0)
+
+
+def test_udfs(spark):
+    from foliant.functions.fuzzy import fuzzy_udf
+    from foliant.functions.stem import porter_udf
+
+    rows = spark.createDataFrame([("papers", "paper"), ("numbering", None)], "a string, b string")
+    made = rows.select(porter_udf("a").alias("stem"), fuzzy_udf("a", "b").alias("score")).collect()
+    assert [r["stem"] for r in made] == ["paper", "number"] and made[0]["score"] == pytest.approx(fuzzy_score("papers", "paper")) and made[1]["score"] == 0
