@@ -12,6 +12,7 @@ Where two neighbours share no break (one match longer than the overlap), the tex
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import prepare, settled
 
 CHUNK, OVERLAP, MARGIN = 1 << 14, 1 << 9, 16
+#: Texts or chunks to an Arrow batch: their ids, as Python numbers, take several times their bytes.
+BATCH = 64
 #: A rank file is sent to the tasks; larger ones are refused.
 MOST_RANK_BYTES = 64 << 20
 
@@ -80,6 +83,12 @@ class Codec:
         return ids, heads, [marks[e] for e in heads], tails, [marks[e] for e in tails]
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(ranks: bytes, pattern: str) -> Codec:
+    """The codec of a Python worker: built once, kept for the tasks that follow."""
+    return Codec(ranks, pattern)
+
+
 def stitched(parts, step: int):
     """The ids of a text from its chunks' (ids, heads, counts, tails, counts) in order; None where neighbours share no break."""
     out, begin = [], 0
@@ -103,7 +112,7 @@ def digests(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
 
 
 def _short(batches, ranks, pattern, with_ids):
-    codec = Codec(ranks, pattern)
+    codec = codec_of(ranks, pattern)
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1).to_pylist()
         ids = [codec.encode(t or "") for t in texts]
@@ -133,7 +142,7 @@ def _chunks(batches, chunk, overlap):
 
 
 def _encoded(batches, ranks, pattern, chunk, overlap):
-    codec, names = Codec(ranks, pattern), ("ids", "heads", "starts", "tails", "ends")
+    codec, names = codec_of(ranks, pattern), ("ids", "heads", "starts", "tails", "ends")
     for batch in batches:
         found = [codec.counted(c, k == 0, last, chunk, overlap) for k, last, c in zip(*(batch.column(x).to_pylist() for x in ("k", "last", "chunk")))]
         lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(5)]
@@ -142,7 +151,7 @@ def _encoded(batches, ranks, pattern, chunk, overlap):
 
 def _stitch(batches, ranks, pattern, with_ids, chunk):
     """Encoded chunks sorted by row and number to a row a text; n_tokens is null where the text must be encoded again."""
-    codec, now, key, mark, parts = Codec(ranks, pattern), None, None, None, []
+    codec, now, key, mark, parts = codec_of(ranks, pattern), None, None, None, []
 
     def done():
         ids = stitched(parts, chunk)
@@ -169,7 +178,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", tex
     stay null; extra columns are not read. Texts are encoded whole; those longer than a chunk are shuffled, chunk by chunk,
     then their ids. A task holds one text's ids at a time. Empty tables give no rows.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH)
     kind = docs.schema[key].dataType.simpleString()
     found = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     out = f"key {kind}, {found}"
