@@ -25,3 +25,15 @@ def test_authors_beyond_the_first_lines(spark):
     own = ["A title of this paper", *["12 x y z"] * 30, "First Author", "Second Author", "Abstract", "Third Author"]
     row = spark.createDataFrame([("\n".join(own),)], "t string").select(extract.authors(F.col("t"), F.lit(own[0])).alias("a")).first()
     assert row["a"] == "First Author; Second Author"
+
+
+def test_words_begun_as_plain_code(spark):
+    texts = ["With without WITH-with withs", "swith éwith with_with 1with", "", "wıth İwith with.with"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t"))
+    made = [r["n"] for r in rows.select(ranking.begun(F.col("t"), "with").alias("n")).collect()]
+    assert made == [r["n"] for r in rows.select(F.size(F.filter(text.tokens(F.col("t")), lambda w: F.startswith(w, F.lit("with")))).alias("n")).collect()]
+
+
+def test_a_stored_record_holds_its_text_once(spark, small):
+    rows = envelope.stored(spark, small)
+    assert rows.where("preview <> left(fulltext, 4000)").isEmpty() and "preview" not in spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).columns
