@@ -37,3 +37,13 @@ def test_words_begun_as_plain_code(spark):
 def test_a_stored_record_holds_its_text_once(spark, small):
     rows = envelope.stored(spark, small)
     assert rows.where("preview <> left(fulltext, 4000)").isEmpty() and "preview" not in spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0]).columns
+
+
+def test_postings_of_few_texts_at_once(spark, small):
+    """Python gets texts by the dozen, not by the ten thousand, and postings leave it in batches."""
+    rows = spark.read.parquet(f"{small}/documents.parquet")
+    assert inverted.postings(rows, "doc_id", fields=("text",)).count() and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(["text"] * 64), pa.array(texts)], names=["doc_id", "field", "words"])
+    made = list(inverted._postings(iter([batch]), False, None, None))
+    assert sum(b.num_rows for b in made) == 64_000 and max(b.num_rows for b in made) <= inverted.BATCH + 1000
