@@ -47,3 +47,8 @@ def test_postings_of_few_texts_at_once(spark, small):
     batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(["text"] * 64), pa.array(texts)], names=["doc_id", "field", "words"])
     made = list(inverted._postings(iter([batch]), False, None, None))
     assert sum(b.num_rows for b in made) == 64_000 and max(b.num_rows for b in made) <= inverted.BATCH + 1000
+
+
+def test_fields_are_extracted_once_to_count(spark, small):
+    plan = catalogue.count_nonscholarly(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bibliography") == 1
