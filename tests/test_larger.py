@@ -52,3 +52,11 @@ def test_postings_of_few_texts_at_once(spark, small):
 def test_fields_are_extracted_once_to_count(spark, small):
     plan = catalogue.count_nonscholarly(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bibliography") == 1
+
+
+def test_postings_asked_for_equal_the_rest_left_out(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").withColumnRenamed("doc_id", "id")
+    key = lambda made: sorted(map(repr, made.collect()))
+    every = inverted.postings(rows, fields=("text",))
+    assert key(inverted.postings(rows, fields=("text",), exact=("the", "with"))) == key(every.where("term in ('the', 'with')"))
+    assert key(inverted.postings(rows, fields=("text",), begins=("th", "re"))) == key(every.where("term like 'th%' or term like 're%'"))
