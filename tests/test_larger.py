@@ -60,3 +60,16 @@ def test_postings_asked_for_equal_the_rest_left_out(spark, small):
     every = inverted.postings(rows, fields=("text",))
     assert key(inverted.postings(rows, fields=("text",), exact=("the", "with"))) == key(every.where("term in ('the', 'with')"))
     assert key(inverted.postings(rows, fields=("text",), begins=("th", "re"))) == key(every.where("term like 'th%' or term like 're%'"))
+
+
+def test_a_cut_field_is_no_text_that_was_tried(spark, tmp_path):
+    """Authors are cut to 300 characters, here within "therefore": the text itself does not hold "the"."""
+    line = "x" * (300 - len("Author One, Author Two; Published 1951; ") - 4) + " therefore"
+    texts = [(1, line), (2, "the one"), (7, "nothing")]
+    spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalogue.aggregate_stats(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = db.execute(catalogue.ORACLE["aggregate_stats"])
+    row = dict(zip([d[0] for d in found.description], found.fetchone()))
+    assert row["candidates"] == 1 and row["matched"] + row["skipped_nonpaper"] == 2 and made.first().asDict() == row
