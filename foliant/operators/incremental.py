@@ -63,11 +63,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` rows in place of ``old`` rows of the same path, ids kept; new paths get ids above the largest, in path order.
 
     ``new`` has the columns of ``old`` but id; its paths are distinct (rows that share a path would share an id). Ids are
-    made on paths alone, so wide rows are moved by the joins only.
+    made on paths alone, so wide rows are moved by the joins only, and stream there past a table of a task's paths: none are
+    sorted, so a task holds its paths and not its rows.
     """
     ids = assigned(old, new)
-    kept = old.join(new.select("path"), "path", "left_anti")
-    return kept.unionByName(new.join(ids, "path").select(kept.columns))
+    kept = old.join(new.select("path").hint("shuffle_hash"), "path", "left_anti")
+    return kept.unionByName(new.join(ids.hint("shuffle_hash"), "path").select(kept.columns))
 
 
 def live(parts: list[DataFrame], dead: list[DataFrame], key: str) -> DataFrame:

@@ -73,3 +73,9 @@ def test_a_cut_field_is_no_text_that_was_tried(spark, tmp_path):
     found = db.execute(catalogue.ORACLE["aggregate_stats"])
     row = dict(zip([d[0] for d in found.description], found.fetchone()))
     assert row["candidates"] == 1 and row["matched"] + row["skipped_nonpaper"] == 2 and made.first().asDict() == row
+
+
+def test_wide_rows_are_not_sorted_to_get_ids(spark):
+    old = spark.createDataFrame([(1, "a", "x" * 10)], "id long, path string, text string")
+    new = spark.createDataFrame([("a", "y"), ("b", "z")], "path string, text string")
+    assert incremental.upsert(old, new)._jdf.queryExecution().optimizedPlan().toString().count("shuffle_hash") == 2
